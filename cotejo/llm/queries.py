@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import mixing, secrets, url_filter
+from cotejo.llm import mixing, packing, secrets, url_filter
 from cotejo.llm._session import table
 
 
@@ -16,9 +16,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_mix_sources, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_mix_sources, op9_best_fit_packing, op10_secret_scan)}
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op10_secret_scan": secrets.ORACLE}
