@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import language_id, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
+from cotejo.llm import embedding_dedup, language_id, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
 from cotejo.llm._session import table
 
 
@@ -20,6 +20,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
         op1_url_filter,
         op2_quality_rules,
         op3_mix_sources,
+        op4_embedding_dedup,
         op5_substring_dedup,
         op6_language_id,
         op7_suffix_dedup,
