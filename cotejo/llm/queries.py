@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import embedding_dedup, language_id, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
+from cotejo.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
 from cotejo.llm._session import table
 
 
@@ -36,6 +36,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +61,7 @@ QUERIES = {
         op5_substring_dedup,
         op6_language_id,
         op7_suffix_dedup,
+        op8_minhash_dedup,
         op9_best_fit_packing,
         op10_secret_scan,
     )
