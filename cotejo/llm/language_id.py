@@ -161,7 +161,9 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, sample: int = SAM
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in score_languages(frozen.value, batches, columns):
-            sure = pc.and_(pc.not_equal(batch.column("lang_pred"), UNDETERMINED), pc.greater_equal(batch.column("score"), least_score))
-            yield batch.filter(sure).select(columns)
+            # by place, for the names may be taken by columns of docs
+            pred, score = batch.column(len(columns)), batch.column(len(columns) + 1)
+            sure = pc.and_(pc.not_equal(pred, UNDETERMINED), pc.greater_equal(score, least_score))
+            yield batch.filter(sure).select(range(len(columns)))
 
     return docs.mapInArrow(kept, docs.schema)
