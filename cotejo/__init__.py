@@ -1 +1 @@
-"""Spark-native analytics over corpora of programs and of training data."""
+"""Spark-native comparison of student programs: coverage, generation tasks, similarity, style and reports."""

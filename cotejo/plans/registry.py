@@ -1,4 +1,6 @@
 """All queries of the library by name, and their SQL for comparison."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cotejo.plans import analysis, coverage, texts
+
+QUERIES: dict = coverage.QUERIES | texts.QUERIES | analysis.QUERIES
+ORACLES: dict = coverage.ORACLES | texts.ORACLES | analysis.ORACLES
