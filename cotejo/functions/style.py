@@ -59,7 +59,7 @@ def style_features(text: Column) -> dict[str, Column]:
     out |= {f"share_{c}": _ratio(by_kind[c], control) for c in CONTROL}
     out |= {
         "mean_nesting": nesting(text),
-        "n_functions": _count(text, r"[A-Za-z_]\w*\s*\([^(){};]*\)\s*\{"),
+        "n_functions": _count(text, _START + r"(?!(?:if|for|while|switch|catch)" + _END + r")[A-Za-z_]\w*\s*\([^(){};]*\)\s*\{"),
         "space_indent": F.size(F.filter(by_line, lambda x: F.startswith(x, F.lit(" ")))).cast("long"),
         "tab_indent": F.size(F.filter(by_line, lambda x: F.startswith(x, F.lit("\t")))).cast("long"),
         "blank_lines": _ratio(blank, F.size(by_line)),
