@@ -1,0 +1,228 @@
+"""The other operators on hard rows, and their own invariants."""
+
+import random
+import zlib
+
+import brute
+import fixtures as fx
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cotejo.llm import language_id, mixing, packing, quality, secrets, url_filter
+
+tokenizers = pytest.importorskip("public_tokenizers")
+PATH = str(tokenizers.path("word_bpe_49k.json"))
+
+
+def test_automaton_against_regex():
+    import re
+
+    rng = random.Random(2)
+    globs = ["*pills*/**", "a?c/**", "**x", "*/b*c", "abc/d", "*", "**", "ads.*/**", "z" * 70 + "*/**"]
+    texts = ["".join(rng.choice("abcx/.pilsé") for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", "pills/", "z" * 70 + "q/é", "ads.a/b"]
+    hits = url_filter.GlobAutomaton(globs).matches(texts)
+    for g, glob in enumerate(globs):
+        rule = re.compile(url_filter._glob_regex(glob), re.S)
+        assert [bool(h) for h in hits[:, g]] == [bool(rule.match(t)) for t in texts], glob
+
+
+def test_urls(spark):
+    cases = {
+        "https://Example.COM/de/x?q#f": ("example.com", "/de/x", "example.com/de/", "block"),
+        "http://a.b.example.net/en/": ("a.b.example.net", "/en/", "example.net/en/", "allow"),
+        "http://example.net/xx": ("example.net", "/xx", "net/", "block"),
+        "http://notexample.net/en/": ("notexample.net", "/en/", "net/", "block"),
+        "http://x.org/fr/y": ("x.org", "/fr/y", "org/fr/", "allow"),
+        "http://x.org?/fr/": ("x.org", "", None, "allow"),
+        "no scheme": ("", "", None, "allow"),
+        "": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "x://h#/a": ("h", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(cases)], "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_quality_base(spark, extra):
+    got = quality.judge(fx.documents(spark, extra=extra)).collect()
+    texts = fx.texts_by_id()
+    for r in got:
+        want = brute.base_rules(texts[r.doc_id])
+        assert {k: r[k] for k in want} == want
+        assert not (r.base_failed and r.kept)
+    assert len(got) == len(texts) and quality.judge(fx.documents(spark, [])).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(1)
+    codes, counts = np.unique(rng.integers(0, 32**4, 3000), return_counts=True)
+    p = np.exp(quality.KneserNey(codes, counts).table().astype(float)).reshape(-1, 32).sum(axis=1)
+    assert np.allclose(p, 1, atol=1e-3)
+
+
+def test_quality_rejects_another_language(spark):
+    rng, vocabulary = random.Random(9), ["the", "house", "stands", "near", "water", "and", "people", "walk"]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(200)), "en", "s", 1) for k in range(60)]
+    rows.append((99, "".join(rng.choice("qxzjkvwq ") for _ in range(900)), "en", "s", 1))
+    got = {r.doc_id: r.kept for r in quality.judge(fx.documents(spark, rows)).collect() if not r.base_failed}
+    assert got[99] is False and sum(got.values()) >= 55
+
+
+def test_mix(spark):
+    rows = fx.corpus() * 4
+    got = mixing.mix_sources(fx.documents(spark, rows, extra=True)).collect()
+    assert len(got) == len(rows) and mixing.mix_sources(fx.documents(spark, [])).count() == 0
+    taken: dict = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken.setdefault((r.source_size, r.target), []).append((r.taken, r.size))
+    for (size, target), of in taken.items():
+        assert sum(s for _, s in of) == size and target <= 2 * size + 1e-6
+        assert abs(sum(t for t, _ in of) - target) <= max(2 * max(s for _, s in of), 0.02 * target)
+    again = mixing.mix_sources(fx.documents(spark, rows, parts=2)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_take_copies(spark):
+    docs = fx.documents(spark, extra=True)
+    mixed = mixing.mix_sources(docs)
+    out = mixing.take_copies(docs, mixed)
+    assert out.columns == docs.columns and out.count() == mixed.agg(F.sum("copies")).first()[0]
+
+
+def test_languages(spark):
+    vocab = {"en": "the of and house water people with from".split(), "de": "der die und haus wasser leute mit aus".split()}
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(vocab["en" if k % 2 else "de"]) for _ in range(30)), "en" if k % 2 else "de", "s", 1) for k in range(200)]
+    rows += [(1000, None, "en", "s", 1), (1001, "12 34", "en", "s", 1), (1002, "", None, "s", 1), (None, "der die", "xx", "s", 1)]
+    docs = fx.documents(spark, rows, extra=True)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert all(got[k].lang_pred == ("en" if k % 2 else "de") and 0 <= got[k].score <= 1 for k in range(200))
+    assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in range(200))
+    assert {got[k].lang_pred for k in (1000, 1001, 1002)} == {"und"}
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 201
+    assert language_id.identify(fx.documents(spark, [])).count() == 0
+    assert {r.lang_pred for r in language_id.identify(fx.documents(spark, [(1, "abc", None, None, 1)])).collect()} == {"und"}
+
+
+def test_code_lengths_are_those_of_a_distribution():
+    tree = language_id.ContextTree.learn(["abracadabra", "abc"])
+    context = np.uint32(int.from_bytes(b"abr"[::-1], "little")) << np.uint32(8)
+    assert tree.code_lengths(context | np.frombuffer(b"a", np.uint8).astype(np.uint32))[0] < tree.code_lengths(context | np.frombuffer(b"z", np.uint8).astype(np.uint32))[0]
+
+
+def plain_spans(text: str) -> list[tuple[int, int, str, int]]:
+    import re
+
+    out = []
+    for rank, rule in enumerate(secrets.RULES):
+        for m in re.finditer(rule.pattern, text, re.A):
+            if len(m.group(rule.group)) >= rule.least:
+                out.append((m.start(), rank, rule.kind, m.end()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_secrets(spark, extra):
+    import hashlib
+
+    docs = fx.documents(spark, extra=extra)
+    found = secrets.find_secrets(docs)
+    got = {r.doc_id: r for r in secrets.digest(found).collect()}
+    for k, text in fx.texts_by_id().items():
+        spans = plain_spans(text or "")
+        assert got[k].spans == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+        base = ",".join(f"{kind}:{a}:{b}" for a, rank, kind, b in spans if rank < 3)
+        assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert got[k].n_assign == sum(s[2] == "assign" for s in spans)
+    clean = {r.doc_id: r.text for r in secrets.masked(docs, found).collect()}
+    for k, text in fx.texts_by_id().items():
+        want = list(text) if text is not None else None
+        for a, _, _, b in plain_spans(text or ""):
+            want[a:b] = "*" * (b - a)
+        assert clean[k] == ("".join(want) if want is not None else None)
+    assert secrets.masked(docs, found).columns == docs.columns
+
+
+def test_ledger_scans_only_new_blobs(spark, tmp_path):
+    rows = [(1, "token=abcdefgh1", "en", "s", 1), (2, "token=abcdefgh1", "en", "s", 1), (3, None, "en", "s", 1)]
+    ledger = str(tmp_path / "ledger")
+    first = secrets.find_secrets(fx.documents(spark, rows), ledger)
+    assert sorted(r.doc_id for r in first.collect() if r.spans) == [1, 2]
+    assert spark.read.parquet(ledger).count() == 2
+    more = [*rows, (4, "password: 12345678x", "en", "s", 1)]
+    assert sorted(r.doc_id for r in secrets.find_secrets(fx.documents(spark, more), ledger).collect() if r.spans) == [1, 2, 4]
+    assert spark.read.parquet(ledger).count() == 3
+    secrets.find_secrets(fx.documents(spark, rows), ledger, secrets.BASE_RULES)
+    assert spark.read.parquet(ledger).count() == 5
+
+
+def test_ids_equal_the_tokenizer():
+    import pyarrow as pa
+
+    from cotejo.llm._text import strings
+
+    rng = random.Random(4)
+    parts = ["a", "B", "é", "e\u0301", "'", "s", "'s", "\u2019", "1", "23", ".", "|", "<", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\u00a0", "\u03a3", "ß", "漢", "😀", "\x00", "\x1c", "\x85", "\u0130", "don't", "I'll", "_", "\u0663"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    encoder = packing.PieceEncoder(PATH)
+    assert encoder.piecewise
+    ids, edges = encoder.encode(*strings(pa.array(texts)))
+    plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(ids[edges[k] : edges[k + 1]].tolist() == p.ids for k, p in enumerate(plain))
+
+
+@pytest.mark.parametrize("capacity", [2048, 40])
+def test_packing(spark, capacity):
+    from tokenizers import Tokenizer
+
+    rows = [*fx.corpus(), (None, "null id", None, None, 1), (3, "again", None, None, 1)]
+    got = packing.pack(fx.documents(spark, rows, extra=True), PATH, capacity=capacity).collect()
+    plain = Tokenizer.from_file(PATH)
+    want = []
+    for r in rows:
+        ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), capacity):
+            part = ids[k : k + capacity]
+            want.append((str(r[0]), k // capacity, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    counts = np.bincount([r.length for r in got], minlength=capacity + 1)
+    assert len(bins) <= packing.lower_bound(counts, capacity) * 1.03 + 1
+    assert packing.pack(fx.documents(spark, []), PATH).count() == 0
+
+
+def test_bin_completion_is_best_on_small_cases():
+    from functools import cache
+
+    rng = random.Random(8)
+    for _ in range(30):
+        sizes = tuple(sorted(rng.randint(1, 20) for _ in range(9)))
+
+        @cache
+        def fewest(left: tuple[int, ...]) -> int:
+            if not left:
+                return 0
+            best, rest = len(left), left[:-1]
+            for mask in range(1 << len(rest)):
+                held = [x for k, x in enumerate(rest) if mask >> k & 1]
+                if left[-1] + sum(held) <= 20:
+                    best = min(best, 1 + fewest(tuple(x for k, x in enumerate(rest) if not mask >> k & 1)))
+            return best
+
+        plan = packing.complete_bins(np.bincount(sizes, minlength=21), 20)
+        assert sorted(x for n, m in plan for x in m * n) == sorted(sizes)
+        assert sum(n for n, _ in plan) <= fewest(sizes) + (fewest(sizes) > 4)
