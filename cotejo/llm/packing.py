@@ -23,13 +23,14 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,50 +38,108 @@ from cotejo.llm._session import written
 from cotejo.llm._text import text_chunks
 
 BUCKET_ROWS = 1000
-#: Words whose ids a worker keeps for the next batch.
-KEPT_WORDS = 150_000
-CHUNK_BYTES = 6 << 20
-
-
-class WordEncoder:
-    """Ids of whole texts, from the ids of their distinct white-space-separated words.
-
-    Only right for tokenizers that never join across ASCII white space.
+#: Pieces of words whose ids a worker keeps for the next chunk.
+KEPT_PIECES = 250_000
+CHUNK_BYTES = 4 << 20
+
+# Fixed value: the rule by which the tokenizers that ``PieceEncoder`` reads piecewise cut words.
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+#: Classes of lower-cased bytes: separators, letters, digits, marks, and what never parts from its neighbours.
+SEPARATOR, LETTER, DIGIT, MARK, GLUE = range(5)
+CLASS = np.full(256, MARK, np.uint8)
+CLASS[ord("a") : ord("z") + 1], CLASS[ord("0") : ord("9") + 1] = LETTER, DIGIT
+CLASS[0x80:], CLASS[ord("'")] = GLUE, GLUE
+CLASS[[0x20, *range(0x09, 0x0E)]] = SEPARATOR
+
+
+class PieceEncoder:
+    """Ids of whole texts, from the ids of the distinct pieces they are made of.
+
+    A text may be cut where ASCII letters, digits and marks meet, before and after each digit,
+    and at ASCII white space, for the tokenizer's own rule cuts there too; never beside
+    an apostrophe or a character beyond ASCII. Each distinct piece is encoded once. Texts that
+    hold a special token, and all texts for tokenizers with another rule, are encoded as they are.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        missing = [w for w in words if w not in self.known]
-        for k in range(0, len(missing), 10_000):
-            part = missing[k : k + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = e.ids
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rules = json.loads(self.tokenizer.to_str())
+        first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        lowers = any(x.get("type") == "Lowercase" for x in (rules.get("normalizer") or {}).get("normalizers", []))
+        self.piecewise = lowers and (first.get("pattern") or {}).get("Regex") == WORD_RULE
+        self.special = [x["content"].encode() for x in rules["added_tokens"]]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.empty(1 << 20, np.uint32)
+        self.edges = np.zeros(1 << 20, np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 10_000):
+            part = pieces[k : k + 10_000]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            n, lengths = len(self.place), np.fromiter(map(len, encoded), np.int64, len(part))
+            while n + len(part) + 1 > len(self.edges):
+                self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
+            self.edges[n + 1 : n + 1 + len(part)] = self.edges[n] + np.cumsum(lengths)
+            end = int(self.edges[n + len(part)])
+            while end > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.edges[n] : end] = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
+            self.place.update(zip(part, range(n, n + len(part)), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and n+1 offsets of each text's."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        self.learn(distinct)
-        lengths = np.fromiter((len(self.known[w]) for w in distinct), np.int64, len(distinct))
-        flat = np.fromiter(chain.from_iterable(self.known[w] for w in distinct), np.uint32, int(lengths.sum()))
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(distinct) else np.empty(0, np.int64)
-        codes = words.indices.to_numpy()
-        each = lengths[codes]
+        raw = data.tobytes()
+        whole = np.zeros(len(offsets) - 1, bool)
+        if not self.piecewise:
+            whole[:] = True
+        elif any(x in raw for x in self.special):
+            whole[:] = [any(x in raw[a:b] for x in self.special) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        if not whole.any():
+            return self._by_pieces(data, offsets)
+        sizes = np.where(whole, 0, np.diff(offsets))
+        ids, edges = self._by_pieces(data[np.repeat(~whole, np.diff(offsets))], np.concatenate([[0], np.cumsum(sizes)]))
+        texts = [raw[offsets[k] : offsets[k + 1]].decode() for k in np.flatnonzero(whole)]
+        others = iter([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        parts = [np.array(next(others), np.uint32) if w else ids[edges[k] : edges[k + 1]] for k, w in enumerate(whole)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+    def _by_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        data = LOWER[data]
+        kind = CLASS[data]
+        before, after = kind[:-1], kind[1:]
+        cut = np.ones(len(data), bool)
+        cut[1:] = ((before != after) & (before != GLUE) & (after != GLUE)) | (after == DIGIT) & (before == DIGIT)
+        cut[1:] |= (before == SEPARATOR) | (after == SEPARATOR)
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(np.append(starts, len(data)))
+        held = kind[starts] != SEPARATOR
+        starts, lengths = starts[held], lengths[held]
+        edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data[kind != SEPARATOR])).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.place) > KEPT_PIECES:
+            self.forget()
+        self.learn([x for x in distinct if x not in self.place])
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        first, each = self.edges[place], self.edges[place + 1] - self.edges[place]
         ends = np.cumsum(each)
-        source = np.repeat(first[codes] - (ends - each), each) + np.arange(int(each.sum()))
-        per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())]).astype(np.int64)
-        return flat[source], np.concatenate([[0], ends])[per_text].astype(np.int64)
+        source = np.repeat(first - (ends - each), each) + np.arange(int(each.sum()))
+        return self.ids[source], np.concatenate([[0], ends])[np.searchsorted(starts, offsets)].astype(np.int64)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -89,19 +148,26 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(tokenizer)
+            _encoders[tokenizer] = PieceEncoder(tokenizer)
         encoder = _encoders[tokenizer]
         for batch in batches:
-            for part, _, _ in text_chunks(batch, "text", CHUNK_BYTES):
-                ids, offsets = encoder.encode(part.column("text"))
-                row, piece, start, length, crc = [], [], [], [], []
-                for i in range(len(part)):
-                    own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")
-                    for k in range(0, len(own), capacity):
-                        held = own[k : k + capacity]
-                        row.append(i), piece.append(k // capacity), start.append(k), length.append(len(held)), crc.append(zlib.crc32(held.tobytes()))
+            for part, data, offsets in text_chunks(batch, "text", CHUNK_BYTES):
+                ids, edges = encoder.encode(data, offsets)
+                edges += np.arange(len(edges))
+                ended = np.full(len(ids) + len(part), end_id, "<u4")
+                inner = np.ones(len(ended), bool)
+                inner[edges[1:] - 1] = False
+                ended[inner] = ids
+                sizes = np.diff(edges)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(part)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                raw = memoryview(ended.tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((edges[row] + start).tolist(), (edges[row] + start + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
