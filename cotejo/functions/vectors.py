@@ -46,3 +46,9 @@ def fused_cosine(semantic: Column, probability: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 less the edit distance over the longer length, in characters; 1 for two empty texts."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.coalesce(1 - F.try_divide(F.levenshtein(a, b).cast("double"), longer.cast("double")), F.when(longer == 0, F.lit(1.0)))

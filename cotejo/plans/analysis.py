@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.bands import gauge_offset, is_significant, risk_band, semantic_band
 from cotejo.functions.style import style_features, style_weight, synthetic_probability
-from cotejo.functions.vectors import cosine, euclidean, fused, fused_cosine
-from cotejo.operators import evaluate, library, report, similarity
+from cotejo.functions.vectors import cosine, edit_similarity, euclidean, fused, fused_cosine
+from cotejo.operators import evaluate, learned, library, report, similarity
 from cotejo.plans._tables import everyone, table
 from cotejo.plans.texts import _PROBABILITY
 from cotejo.streaming.ingest import sessions
@@ -56,6 +56,17 @@ def benchmark_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.shared_tokens(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
+def edit_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", F.round(edit_similarity(F.lower("p_name"), F.lower("p_type")), 6).alias("similitud"))
+
+
+def learned_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of quality 1 for every document, from a model that all labelled ones train."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return learned.probabilities(learned.train(docs, table(spark, sf_dir, "labels"), "doc_id", "quality"), docs, "doc_id")
+
+
 def fingerprint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many winnowed fingerprints documents share with benchmark items, from 20 on."""
     items = similarity.fingerprints(table(spark, sf_dir, "benchmark"), "item_id", k=12, window=8)
@@ -194,7 +205,7 @@ _WINNOW = (
 QUERIES = {
     f.__name__: f
     for f in (
-        top_k_references, similar_above_threshold, distances, fused_similarity, benchmark_jaccard, fingerprint_matches, bimodal_report, integrity_indicators, report_bands,
+        top_k_references, similar_above_threshold, distances, fused_similarity, benchmark_jaccard, edit_similarities, learned_style, fingerprint_matches, bimodal_report, integrity_indicators, report_bands,
         comparisons_by_problem, classification_metrics, confusion_matrix, human_correlation, group_split, balanced_sample, class_balance, library_search, library_page,
         library_pages, gauges, tenant_reports, full_reports, event_sessions,
     )
@@ -209,6 +220,7 @@ ORACLES = {
     "benchmark_jaccard": "WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE doc_id % 100 = 0), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark), "
     "an AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1), bn AS (SELECT item_id, count(*) AS m FROM b GROUP BY 1), s AS (SELECT doc_id, item_id, count(*) AS c FROM a JOIN b USING (token) GROUP BY ALL) "
     "SELECT doc_id, item_id, round(c / (n + m - c)::DOUBLE, 6) AS jaccard FROM s JOIN an USING (doc_id) JOIN bn USING (item_id)",
+    "edit_similarities": "SELECT p_partkey, round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS similitud FROM part",
     "fingerprint_matches": f"SELECT doc_id, item_id, count(*) AS n FROM {_WINNOW.format('doc_id', 'documents')} JOIN {_WINNOW.format('item_id', 'benchmark')} USING (fingerprint) GROUP BY ALL HAVING count(*) >= 20",
     "bimodal_report": _REPORT + "SELECT doc_id, CAST(referencia AS VARCHAR) AS referencia, similitud_logica, probabilidad_sintetica, similitud_global, banda, riesgo, prioridad FROM report",
     "integrity_indicators": _REPORT + "SELECT doc_id, 'equivalencia_alta' AS tipo_hallazgo FROM report WHERE similitud_logica >= 0.8 UNION ALL SELECT doc_id, 'discrepancia_canales' FROM report WHERE similitud_logica >= 0.8 AND probabilidad_sintetica >= 0.5 "
