@@ -33,6 +33,8 @@ from cotejo.llm._text import strings, text_chunks
 
 ORDER = 3
 SAMPLE = 300
+#: Bytes of text scored at once; the arrays for them take some sixty times as much.
+CHUNK_BYTES = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -118,7 +120,7 @@ def score_languages(trees: dict[str, ContextTree], batches: Iterator[pa.RecordBa
     """For each row: the columns ``keep``, lang_pred, score and bits for each byte."""
     names = sorted(trees)
     for batch in batches:
-        for part, data, offsets in text_chunks(batch, "text", 4 << 20):
+        for part, data, offsets in text_chunks(batch, "text", CHUNK_BYTES):
             n = len(part)
             total = np.zeros((n, max(1, len(names))))
             full = np.flatnonzero(np.diff(offsets))
