@@ -27,10 +27,12 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +41,16 @@ from cotejo.llm._text import text_chunks
 
 BUCKET_ROWS = 1000
 #: Pieces of words whose ids a worker keeps for the next chunk.
-KEPT_PIECES = 250_000
-CHUNK_BYTES = 4 << 20
+KEPT_PIECES = 150_000
+CHUNK_BYTES = 2 << 20
 
 # Fixed value: the rule by which the tokenizers that ``PieceEncoder`` reads piecewise cut words.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Pieces that the rule leaves whole, and how many of them are encoded as one text: each ends with a token that ends a word.
+ONE_WORD = r"^(?:\p{L}+|[0-9]|[!-&(-/:-@\[-`{-~]+)$"
+WORDS_AT_ONCE = 500
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Classes of lower-cased bytes: separators, letters, digits, marks, and what never parts from its neighbours.
@@ -74,26 +80,52 @@ class PieceEncoder:
         lowers = any(x.get("type") == "Lowercase" for x in (rules.get("normalizer") or {}).get("normalizers", []))
         self.piecewise = lowers and (first.get("pattern") or {}).get("Regex") == WORD_RULE
         self.special = [x["content"].encode() for x in rules["added_tokens"]]
+        suffix, vocabulary = rules["model"].get("end_of_word_suffix") or "", rules["model"]["vocab"]
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for name, k in vocabulary.items() if suffix and name.endswith(suffix)]] = True
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, kept: np.ndarray | None = None) -> None:
+        """Forgets all pieces but those at the places ``kept``."""
+        names, ids, edges = ([], None, None) if kept is None else (list(self.place), self.ids, self.edges)
         self.place: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.uint32)
         self.edges = np.zeros(1 << 20, np.int64)
+        self.chunks = np.zeros(1 << 20, np.int32)  # how many chunks a piece was in
+        if kept is not None:
+            lengths = edges[kept + 1] - edges[kept]
+            source = np.repeat(edges[kept] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+            self._add([names[k] for k in kept.tolist()], ids[source], lengths)
 
     def learn(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), 10_000):
             part = pieces[k : k + 10_000]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            n, lengths = len(self.place), np.fromiter(map(len, encoded), np.int64, len(part))
-            while n + len(part) + 1 > len(self.edges):
-                self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
-            self.edges[n + 1 : n + 1 + len(part)] = self.edges[n] + np.cumsum(lengths)
-            end = int(self.edges[n + len(part)])
-            while end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.edges[n] : end] = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
-            self.place.update(zip(part, range(n, n + len(part)), strict=True))
+            single = pc.match_substring_regex(pa.array(part, pa.string()), ONE_WORD).to_numpy(zero_copy_only=False)
+            joined = [x for x, one in zip(part, single, strict=True) if one]
+            rest = [x for x, one in zip(part, single, strict=True) if not one]
+            for at in range(0, len(joined), WORDS_AT_ONCE):
+                words = joined[at : at + WORDS_AT_ONCE]
+                ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(words) and ends[-1] == len(ids):
+                    self._add(words, ids, np.diff(ends, prepend=0))
+                else:
+                    rest += words
+            if rest:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+                lengths = np.fromiter(map(len, found), np.int64, len(rest))
+                self._add(rest, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
+    def _add(self, part: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.place)
+        while n + len(part) + 1 > len(self.edges):
+            self.edges, self.chunks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.edges, self.chunks))
+        self.edges[n + 1 : n + 1 + len(part)] = self.edges[n] + np.cumsum(lengths)
+        end = int(self.edges[n + len(part)])
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.edges[n] : end] = ids
+        self.place.update(zip(part, range(n, n + len(part)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and n+1 offsets of each text's."""
@@ -130,16 +162,22 @@ class PieceEncoder:
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data[kind != SEPARATOR])).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         if len(self.place) > KEPT_PIECES:
-            self.forget()
+            often = np.flatnonzero(self.chunks[: len(self.place)] > 1)
+            self.forget(often if len(often) < KEPT_PIECES // 2 else None)
         self.learn([x for x in distinct if x not in self.place])
-        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        self.chunks[known] += 1
+        place = known[pieces.indices.to_numpy()]
         first, each = self.edges[place], self.edges[place + 1] - self.edges[place]
         ends = np.cumsum(each)
         source = np.repeat(first - (ends - each), each) + np.arange(int(each.sum()))
         return self.ids[source], np.concatenate([[0], ends])[np.searchsorted(starts, offsets)].astype(np.int64)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+@cache
+def encoder_of(path: str) -> PieceEncoder:
+    """One for each worker, which keeps it from task to task."""
+    return PieceEncoder(path)
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -147,9 +185,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = PieceEncoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part, data, offsets in text_chunks(batch, "text", CHUNK_BYTES):
                 ids, edges = encoder.encode(data, offsets)
