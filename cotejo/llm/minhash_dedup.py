@@ -10,9 +10,9 @@ Candidates are compared signature batch by signature batch. With a uniform prior
 posterior probability of a link falls below ``MISS``. Survivors are verified exactly, on
 the full sets of both whole texts.
 
-First each member of a bucket is compared with the bucket's first document, which takes
-work in proportion to the rows. Then members of different components are compared, large
-buckets in pairs of blocks; members that verified links connect already are not. A pair
+First each member of a bucket of several blocks is compared with the bucket's first document,
+which takes work in proportion to the rows. Then members of different components are compared,
+large buckets in pairs of blocks; members that verified links connect already are not. A pair
 counts in the first band it shares only. A bucket with many such pairs sends a spanning
 forest of them for verification, and the rest only where that leaves its components apart.
 So a group of copies costs a few pairs for each copy, and no link between components is lost.
@@ -207,12 +207,12 @@ def _pairs(doc: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> li
 
 
 def star_pairs(live: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of a class and the first one of a bucket it is in."""
+    """Surviving pairs of a class and the first one of a bucket it is in, for buckets of several blocks."""
     least = least_matches(percent, MISS)
-    member = live.select("doc_id", "text_key", "n_shingles", "sig", F.explode("keys").alias("at")).select("*", F.col("at.key").alias("key"))
-    hubs = buckets.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.text_key").alias("hub_key"))
+    member = live.select("doc_id", "text_key", F.explode("keys").alias("at")).filter("at.blocks > 1").select("doc_id", "text_key", F.col("at.key").alias("key"))
+    hubs = buckets.filter("blocks > 1").select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.text_key").alias("hub_key"))
     # a class meets the same hub in many buckets: once is enough
-    met = member.select("doc_id", "text_key", "key").join(hubs, "key").filter("doc_id <> hub or text_key <> hub_key").select("doc_id", "text_key", "hub", "hub_key").distinct()
+    met = member.join(hubs, "key").filter("doc_id <> hub or text_key <> hub_key").select("doc_id", "text_key", "hub", "hub_key").distinct()
     own = live.select("doc_id", "text_key", "n_shingles", "sig")
     theirs = own.toDF("hub", "hub_key", "hub_shingles", "hub_sig")
     both = met.join(own, ["doc_id", "text_key"]).join(theirs, ["hub", "hub_key"])
@@ -323,17 +323,19 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     live, buckets = live_rows(classes.drop("k1", "k2").dropDuplicates(["doc_id", "text_key"]), docs)
     checked = written(verify(star_pairs(live, buckets, percent), live, width, percent), "minhash-verified")
     # rows that repeat an id are one document: their classes hang together
-    same_id = usable.join(classes.select("k1", "k2", F.col("doc_id").alias("first")), ["k1", "k2"])
-    known = same_id.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
-    repeated = usable.groupBy("doc_id").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k <> l").select("doc_id")
-    known = known.join(repeated.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    links = lambda: checked.filter("linked").select("a", "b").unionByName(known)
-    roots = written(components(links()), "minhash-roots")
+    repeated = usable.groupBy("doc_id").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k <> l").select(F.col("doc_id").alias("a"))
+    same_id = usable.select(F.col("doc_id").alias("a"), "k1", "k2").join(repeated, "a", "left_semi").join(classes.select("k1", "k2", F.col("doc_id").alias("b")), ["k1", "k2"])
+    links = checked.filter("linked").select("a", "b").unionByName(same_id.filter("a <> b").select("a", "b").distinct())
+    roots = written(components(links), "minhash-roots")
     for all_pairs in (False, True):
         met = written(cross_pairs(live, roots, percent, all_pairs), "minhash-met")
         new = met.select("a", "a_key", "b", "b_key").join(checked, ["a", "a_key", "b", "b_key"], "left_anti")
-        checked = checked.unionByName(written(verify(new, live, width, percent), "minhash-verified"))
-        roots = written(components(links()), "minhash-roots")
+        found = written(verify(new, live, width, percent), "minhash-verified")
+        checked = checked.unionByName(found)
+        linked = found.filter("linked").select("a", "b")
+        if not linked.isEmpty():
+            stars = roots.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            roots = written(components(stars.unionByName(linked)), "minhash-roots")
         if all_pairs or met.filter("rest").isEmpty():
             break
     members = sets.join(classes.select("k1", "k2", F.col("doc_id").alias("first")), ["k1", "k2"], "left")
