@@ -42,7 +42,7 @@ BANDS, ROWS = 40, 6
 #: Posterior probability of a link below which a candidate is pruned, and bytes in a batch.
 MISS, BATCH = 1e-5, 40
 #: Members of a bucket in a block, and unverified pairs for each member that a cell sends at once.
-BLOCK, FEW = 1024, 4
+BLOCK, FEW = 1024, 1
 PAIRS_AT_ONCE = 20_000
 
 LOWER = np.arange(256, dtype=np.uint8)
