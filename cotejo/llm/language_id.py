@@ -12,6 +12,14 @@ shortest code for the whole text is predicted.
 The trees are learned from a bounded sample of labelled rows: for each language
 the ``SAMPLE`` rows whose ids hash lowest, their texts whole.
 
+The score compares learned languages only. Whether any of them fits is told by the
+bits a byte: all labelled rows are coded under their own language's tree, and a
+histogram that Spark counts gives each language's median and spread. A text whose code
+is longer than the median by more than ``LEAST_EXCESS + EXCESS_WIDTH * spread / sqrt(bytes)``
+is in no learned language for ``keep_identified``. Texts that a tree was learned from
+have shorter codes than others, so they count only where others are fewer than ``FEW``;
+then the learned ones are coded under trees of the other half of the sample.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0, as
 is every text where no language could be learned; a null id is never learned
 from; rows without a language are scored, not learned from; repeated rows are
@@ -20,6 +28,8 @@ scored one by one; only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +46,10 @@ SAMPLE = 300
 #: Bytes of text scored at once; the arrays for them take some sixty times as much.
 CHUNK_BYTES = 1 << 20
 UNDETERMINED = "und"
+#: Bits a byte above a language's median that are always allowed, and spreads beside them, for short texts.
+LEAST_EXCESS, EXCESS_WIDTH = 1.0, 6.0
+#: Steps of bits a byte in the histogram, and how many unlearned texts a bound needs.
+STEP, FEW = 0.01, 20
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -155,17 +169,97 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     )
 
 
+def own_bits(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits for each byte of each text, none of which is empty."""
+    wanted, where = np.unique(grams(data, offsets), return_inverse=True)
+    return np.add.reduceat(tree.code_lengths(wanted)[where], offsets[:-1]) / np.diff(offsets)
+
+
+def _mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def count_bits(docs: DataFrame, trees: dict[str, ContextTree], sample: dict[str, list[str]]) -> dict[str, list[tuple[int, int, int]]]:
+    """For each language the (log2 of bytes, step of bits a byte, rows) of all labelled texts with a letter that no tree was learned from."""
+    frozen = docs.sparkSession.sparkContext.broadcast((trees, {_mark(t) for texts in sample.values() for t in texts}))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, learned = frozen.value
+        sums: Counter = Counter()
+        for batch in batches:
+            for lang in batch.column("lang").unique().to_pylist():
+                if lang not in trees:
+                    continue
+                rows = batch.filter(pc.equal(batch.column("lang"), lang))
+                rows = rows.filter(pa.array([_mark(t) not in learned for t in rows.column("text").to_pylist()], pa.bool_()))
+                for _, data, offsets in text_chunks(rows, "text", CHUNK_BYTES):
+                    steps = np.round(own_bits(trees[lang], data, offsets) / STEP).astype(np.int64).tolist()
+                    sizes = np.round(np.log2(np.diff(offsets))).astype(np.int64).tolist()
+                    sums.update(zip([lang] * len(steps), sizes, steps, strict=True))
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (1, 2)), pa.array(list(sums.values()), pa.int64())],
+            ["lang", "size", "step", "n"],
+        )
+
+    usable = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counted = usable.mapInArrow(count, "lang string, size long, step long, n long").groupBy("lang", "size", "step").agg(F.sum("n").alias("n"))
+    out: dict[str, list[tuple[int, int, int]]] = {}
+    for row in counted.collect():
+        out.setdefault(row["lang"], []).append((row["size"], row["step"], row["n"]))
+    return out
+
+
+def _crossed(texts: list[str]) -> list[tuple[int, int, int]]:
+    """What ``count_bits`` gives, for the sample itself: each half under the tree of the other, or under its own where there is one text."""
+    out = []
+    for half in (0, 1):
+        tested = [t for t in texts[half::2] if t]
+        if tested:
+            data, offsets = strings(pa.array(tested, pa.string()))
+            bits = own_bits(ContextTree.learn(texts[1 - half :: 2] or texts), data, offsets)
+            out += [(round(np.log2(n)), round(b / STEP), 1) for n, b in zip(np.diff(offsets).tolist(), bits.tolist(), strict=True)]
+    return out
+
+
+def fit_bounds(docs: DataFrame, trees: dict[str, ContextTree], sample: dict[str, list[str]]) -> dict[str, tuple[float, float]]:
+    """For each learned language the median of the bits a byte of its texts, and the spread of one byte."""
+    counted, out = count_bits(docs, trees, sample), {}
+    for lang, texts in sample.items():
+        rows = counted.get(lang, [])
+        if sum(n for _, _, n in rows) < FEW:
+            rows = rows + _crossed(texts)
+        if not rows:
+            out[lang] = (8.0, 0.0)  # only empty texts are labelled so: nothing says what fits
+            continue
+        size, step, n = np.array(rows, np.int64).T
+        middle = _weighted_median(step * STEP, n)
+        out[lang] = middle, 1.4826 * _weighted_median(np.abs(step * STEP - middle) * np.exp2(size / 2), n)
+    return out
+
+
+def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x)
+    sums = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(sums, sums[-1] / 2)])
+
+
 def keep_identified(docs: DataFrame, least_score: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` in a language that was learned; their columns stay as they are."""
-    trees = {lang: ContextTree.learn(texts) for lang, texts in training_sample(docs, sample).items()}
-    frozen = docs.sparkSession.sparkContext.broadcast(trees)
+    learned = training_sample(docs, sample)
+    trees = {lang: ContextTree.learn(texts) for lang, texts in learned.items()}
+    frozen = docs.sparkSession.sparkContext.broadcast((trees, fit_bounds(docs, trees, learned) if trees else {}))
     columns = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in score_languages(frozen.value, batches, columns):
+        trees, bounds = frozen.value
+        for batch in score_languages(trees, batches, columns):
             # by place, for the names may be taken by columns of docs
-            pred, score = batch.column(len(columns)), batch.column(len(columns) + 1)
+            pred, score, bits = (batch.column(len(columns) + k) for k in range(3))
             sure = pc.and_(pc.not_equal(pred, UNDETERMINED), pc.greater_equal(score, least_score))
-            yield batch.filter(sure).select(range(len(columns)))
+            middle, spread = np.array([bounds.get(x, (0.0, 0.0)) for x in pred.to_pylist()]).reshape(-1, 2).T
+            size = np.maximum(pc.fill_null(pc.binary_length(batch.column(columns.index("text"))), 1).to_numpy(zero_copy_only=False), 1)
+            fits = bits.to_numpy() <= middle + LEAST_EXCESS + EXCESS_WIDTH * spread / np.sqrt(size)
+            yield batch.filter(pc.and_(sure, pa.array(fits))).select(range(len(columns)))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -110,6 +110,19 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.identify(fx.documents(spark, [(1, "abc", None, None, 1)])).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("n", [200, 40])
+def test_texts_in_no_learned_language_go(spark, n):
+    vocab = {"en": "the of and house water people with from".split(), "de": "der die und haus wasser leute mit aus".split()}
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(vocab["en" if k % 2 else "de"]) for _ in range(rng.choice([4, 30, 80]))), "en" if k % 2 else "de", "s", 1) for k in range(n)]
+    foreign = " ".join(rng.choice("egy nagyon szép kutya fekszik ház előtt vízben gyerekek játszanak".split()) for _ in range(80))
+    rows += [(1000, foreign, None, "s", 1), (1002, "".join(rng.choice("0123456789#%&=") for _ in range(500)) + "a", None, "s", 1)]
+    rows += [(1003, "".join(rng.choice("qxzjkvwpbg ") for _ in range(500)), None, "s", 1), (1004, "the house of the people", None, "s", 1)]
+    for labelled in (rows, [r for r in rows if r[2] != "de"]):  # two languages, and one alone
+        kept = {r.doc_id for r in language_id.keep_identified(fx.documents(spark, labelled)).collect()}
+        assert kept == {r[0] for r in labelled} - {1000, 1002, 1003}
+
+
 def test_code_lengths_are_those_of_a_distribution():
     tree = language_id.ContextTree.learn(["abracadabra", "abc"])
     context = np.uint32(int.from_bytes(b"abr"[::-1], "little")) << np.uint32(8)
