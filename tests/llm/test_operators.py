@@ -72,6 +72,32 @@ def test_quality_rejects_another_language(spark):
     assert got[99] is False and sum(got.values()) >= 55
 
 
+def test_quality_rejects_gibberish_in_cyrillic(spark):
+    rng, vocabulary = random.Random(9), ["дом", "стоит", "около", "воды", "люди", "идут", "старый", "город", "и", "река"]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(200)), "ru", "s", 1) for k in range(60)]
+    # every letter gives way to one whose two bytes are of the same classes
+    alike = {c: half for half in ("абвгдежзийклмноп", "рстуфхцчшщъыьэюя") for c in half}
+    gibberish = "".join(rng.choice(alike[c]) if c in alike else c for c in rows[0][1])
+    rows.append((99, gibberish, "ru", "s", 1))
+    got = {r.doc_id: r.kept for r in quality.judge(fx.documents(spark, rows)).collect() if not r.base_failed}
+    assert got[99] is False and sum(got.values()) >= 55
+
+
+def test_models_are_bounded(spark):
+    counts = spark.createDataFrame([("a", g, 1 + g % 4) for g in range(40)] + [(None, 7, 1)], "lang string, gram long, n long")
+    got = quality.bounded(counts, 50).collect()
+    assert sorted(r.n for r in got if r.lang == "a") == [3] * 10 + [4] * 10 and sum(r.lang is None for r in got) == 1
+    assert quality.bounded(counts, 100).count() == 41
+
+
+def test_code_points():
+    text = "aB é Жя 漢字 😀\tz"
+    data = np.frombuffer((text + "x").encode(), np.uint8)
+    points, offsets = quality.points_of(data, np.array([0, len(data) - 1, len(data) - 1, len(data)]))
+    assert offsets.tolist() == [0, len(text), len(text), len(text) + 1]
+    assert [int(p) for p, c in zip(points, text, strict=False) if c != "😀"] == [ord(c.lower()) if c != "\t" else 32 for c in text if c != "😀"]
+
+
 def test_mix(spark):
     rows = fx.corpus() * 4
     got = mixing.mix_sources(fx.documents(spark, rows, extra=True)).collect()
