@@ -78,6 +78,36 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: in
     return nearest(local.mapInArrow(best, kinds), k, "vec_id", "ref_id")
 
 
+def link_counts(vectors: DataFrame, least: float, digits: int = 6, block: int = 1024) -> DataFrame:
+    """vec_id and n_links of every vector: how many others of its label have a rounded cosine of ``least`` or more.
+
+    Each label is cut into blocks of about ``block`` vectors and every pair of blocks is compared
+    once, in a task of its own. A vector without a label, length or direction has no links.
+    """
+    usable = vectors.filter("vec_id is not null and label is not null and size(embedding) > 0").select(
+        "vec_id", "label", F.size("embedding").alias("width"), F.col("embedding").cast("array<double>").alias("embedding"), F.xxhash64("vec_id", "embedding").alias("dealt")
+    )
+    blocks = usable.groupBy("label", "width").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = usable.join(blocks, ["label", "width"]).withColumn("block", F.pmod("dealt", "blocks"))
+    paired = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = paired.select("vec_id", "label", "width", "embedding", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def count(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        ids, own, x = cell.column("vec_id").to_numpy(), cell.column("block").to_numpy(), _unit(cell.column("embedding").combine_chunks())
+        lo, hi = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
+        a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        linked = (np.round(x[a] @ x[b].T, digits) >= least) & (ids[a][:, None] != ids[b][None, :])
+        n = np.zeros(len(ids), np.int64)
+        n[a] = linked.sum(axis=1)
+        if lo != hi:
+            n[b] = linked.sum(axis=0)
+        return pa.table({"vec_id": pa.array(ids), "n_links": pa.array(n)})
+
+    found = cells.groupBy("label", "width", "lo", "hi").applyInArrow(count, "vec_id long, n_links long")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links")).unionByName(found).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -178,7 +208,12 @@ def shared_tokens(queries: DataFrame, texts: DataFrame, query_id: str, text_id:
 
     mine, theirs = sets(queries, query_id), sets(texts, text_id)
     sizes = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
-    shared = theirs.join(F.broadcast(mine) if _kernel_fits(mine, 64) else mine, "token").groupBy(query_id, text_id).agg(F.count("*").alias("shared"))
+    if _kernel_fits(mine, 64):
+        joined = theirs.join(F.broadcast(mine), "token")
+    else:
+        # a common token's texts then meet its queries where those are, not in one task
+        joined = mine.join(F.broadcast(theirs) if _kernel_fits(theirs, 64) else theirs, "token")
+    shared = joined.groupBy(query_id, text_id).agg(F.count("*").alias("shared"))
     sized = shared.join(sizes(mine, query_id, "n"), query_id).join(sizes(theirs, text_id, "m"), text_id)
     return sized.select(query_id, text_id, F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6).alias("jaccard"))
 

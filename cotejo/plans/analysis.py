@@ -32,6 +32,11 @@ def similar_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter("vec_id <> ref_id and similitud >= 0.3").select("vec_id", "ref_id", "similitud", semantic_band(F.col("similitud")).alias("banda"))
 
 
+def similar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of links: all others of its label with a cosine of 0.3 or more."""
+    return similarity.link_counts(table(spark, sf_dir, "embeddings"), 0.3)
+
+
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean cosine and Euclidean distance of the query set to each label."""
     a = _queries(spark, sf_dir).select("vec_id", F.col("embedding").alias("a"))
@@ -56,6 +61,11 @@ def benchmark_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.shared_tokens(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-set similarity of all documents with all benchmark items."""
+    return similarity.shared_tokens(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
 def edit_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     return parts.select("p_partkey", F.round(edit_similarity(F.lower("p_name"), F.lower("p_type")), 6).alias("similitud"))
@@ -205,7 +215,7 @@ _WINNOW = (
 QUERIES = {
     f.__name__: f
     for f in (
-        top_k_references, similar_above_threshold, distances, fused_similarity, benchmark_jaccard, edit_similarities, learned_style, fingerprint_matches, bimodal_report, integrity_indicators, report_bands,
+        top_k_references, similar_above_threshold, similar_links, distances, fused_similarity, benchmark_jaccard, jaccard_pairs, edit_similarities, learned_style, fingerprint_matches, bimodal_report, integrity_indicators, report_bands,
         comparisons_by_problem, classification_metrics, confusion_matrix, human_correlation, group_split, balanced_sample, class_balance, library_search, library_page,
         library_pages, gauges, tenant_reports, full_reports, event_sessions,
     )
@@ -220,6 +230,12 @@ ORACLES = {
     "benchmark_jaccard": "WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE doc_id % 100 = 0), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark), "
     "an AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1), bn AS (SELECT item_id, count(*) AS m FROM b GROUP BY 1), s AS (SELECT doc_id, item_id, count(*) AS c FROM a JOIN b USING (token) GROUP BY ALL) "
     "SELECT doc_id, item_id, round(c / (n + m - c)::DOUBLE, 6) AS jaccard FROM s JOIN an USING (doc_id) JOIN bn USING (item_id)",
+    "similar_links": "WITH v AS (SELECT vec_id, label, embedding AS a FROM embeddings), w AS (SELECT vec_id AS ref_id, label, embedding AS b FROM embeddings), "
+    f"s AS (SELECT vec_id, count(*) AS n FROM v JOIN w USING (label) WHERE vec_id <> ref_id AND round({_COSINE}, 6) >= 0.3 GROUP BY 1) "
+    "SELECT vec_id, coalesce(any_value(n), 0) AS n_links FROM v LEFT JOIN s USING (vec_id) GROUP BY vec_id",
+    "jaccard_pairs": "WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark), "
+    "an AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1), bn AS (SELECT item_id, count(*) AS m FROM b GROUP BY 1), s AS (SELECT doc_id, item_id, count(*) AS c FROM a JOIN b USING (token) GROUP BY ALL) "
+    "SELECT doc_id, item_id, round(c / (n + m - c)::DOUBLE, 6) AS jaccard FROM s JOIN an USING (doc_id) JOIN bn USING (item_id)",
     "edit_similarities": "SELECT p_partkey, round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS similitud FROM part",
     "fingerprint_matches": f"SELECT doc_id, item_id, count(*) AS n FROM {_WINNOW.format('doc_id', 'documents')} JOIN {_WINNOW.format('item_id', 'benchmark')} USING (fingerprint) GROUP BY ALL HAVING count(*) >= 20",
     "bimodal_report": _REPORT + "SELECT doc_id, CAST(referencia AS VARCHAR) AS referencia, similitud_logica, probabilidad_sintetica, similitud_global, banda, riesgo, prioridad FROM report",

@@ -104,6 +104,19 @@ def test_search_on_both_paths(spark, monkeypatch):
     assert run() == fast and len(fast) == 12
 
 
+def test_links_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4))
+    rows = [(k, k % 2, x[k].tolist()) for k in range(40)] + [(40, None, x[0].tolist()), (41, 0, None), (42, 0, [0.0] * 4), (43, 1, [1.0])]
+    got = similarity.link_counts(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), 0.3, block=6).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = (unit @ unit.T).round(6) >= 0.3
+    want = {k: sum(bool(close[k, j]) for j in range(40) if j != k and (j - k) % 2 == 0) for k in range(40)}
+    assert {r.vec_id: r.n_links for r in got} == want | {40: 0, 41: 0, 42: 0, 43: 0}
+
+
 def test_best_reference_on_both_paths(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "gamma"), (3, None), (4, ""), (5, "Beta ALPHA")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta"), (9, "beta beta alpha"), (8, "alpha beta")], "item_id long, text string")
