@@ -5,12 +5,12 @@ with the least hash. The stretches that belong to one trigger are the *phrases*
 the parse; consecutive ones overlap, so each 50-byte string lies in exactly one
 phrase, at the same place in it wherever it occurs. Equal phrases are one entry of the
 dictionary, known by its smallest document. Only where the dictionary has different
-phrases around one trigger are their suffixes compared, cut to 50 bytes: sorting
-those suffixes together with the phrases' order gives the corpus order in which
-every string stands beside its copies, smallest document first.
+phrases around one trigger are their 50-byte strings compared, each with the smallest
+document that holds it. No suffix array is built, neither of the dictionary nor of the
+parse, and nothing is put into corpus order.
 
-Both sorts run in shards by hash, see ``_repeats``; strings are compared by 64-bit
-and phrases by 80-bit hashes instead of byte by byte.
+Equal phrases and strings meet in shards by hash, see ``_repeats``; strings are compared by
+64-bit and phrases by 80-bit hashes instead of byte by byte.
 
 Defined results: a null text is empty; texts below 50 bytes lose nothing; a null
 doc_id neither takes nor loses; rows that repeat an id do not take from each other;
