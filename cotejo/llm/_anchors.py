@@ -1,10 +1,11 @@
-"""Content-chosen anchors: where equal runs of units meet, wherever they stand.
-
-Every run of ``length`` units (a window) chooses one of the ``width``-unit grams
-in it, the one whose hash is least and, of equals, the first. Equal windows choose
-alike, so two texts that share a window share its anchor. The windows of one
-anchor stand side by side; what they cover together is a *phrase*, which overlaps
-the next one. Equal phrases hold equal windows in equal places.
+"""Prefix-free parsing: phrases around triggers that a rolling hash chooses.
+
+Of the ``width``-unit grams in a run of ``length`` units (a window) the one whose rolling
+hash is least, and of equals the first, is a *trigger*. So no window is without one,
+and equal windows choose alike wherever they stand. The windows of one trigger stand
+side by side; what they cover together is a *phrase*, which overlaps the next one by all
+but one unit of a window. Each window lies in exactly one phrase, at the same distance from
+the trigger wherever it occurs, and never runs on into the next.
 """
 
 from __future__ import annotations
@@ -13,29 +14,25 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from cotejo.llm._text import prefix_hashes, sliding_hashes, span_hashes
+from cotejo.llm._text import U64, mix, prefix_hashes, sliding_hashes, span_hashes
 
-U32 = np.uint64(32)
-LOW = np.uint64(0xFFFFFFFF)
+U32 = U64(32)
+LOW = U64(0xFFFFFFFF)
 
 
 @dataclass
 class Phrases:
-    """One row for each anchor, in order.
+    """One row for each trigger, in order.
 
-    Its text, where in the text its first window starts, how many windows it has,
-    hashes of the anchor and of the phrase, and one byte each for the units on its
-    left and right. Two different phrases with one anchor can only share a window
-    if they agree on one of those sides, half as long as what a window has besides the anchor.
+    Its text, the unit at which its first window starts, how many windows it has, how far
+    its trigger lies behind that start, and the trigger's hash.
     """
 
     text: np.ndarray
     start: np.ndarray
     windows: np.ndarray
-    anchor: np.ndarray
-    phrase: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    ahead: np.ndarray
+    trigger: np.ndarray
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -51,8 +48,7 @@ def phrases(units: np.ndarray, offsets: np.ndarray, length: int, width: int) ->
     """The phrases of all texts; ``units`` are hashes, ``offsets`` say where texts begin and end."""
     n = len(units)
     if n < length:
-        none = np.empty(0, np.int64)
-        return Phrases(none, none, none, *[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.uint8)] * 2)
+        return Phrases(*[np.empty(0, np.int64)] * 4, np.empty(0, np.uint64))
     grams = sliding_hashes(units, width)
     keys = (grams >> U32 << U32) | np.arange(len(grams), dtype=np.uint64)
     chosen = (_sliding_least(keys, length - width + 1) & LOW).astype(np.int64)
@@ -62,27 +58,22 @@ def phrases(units: np.ndarray, offsets: np.ndarray, length: int, width: int) ->
     first = np.ones(len(starts), bool)
     first[1:] = (chosen[1:] != chosen[:-1]) | (text[starts[1:]] != text[starts[:-1]])
     at = np.flatnonzero(first)
-    count = np.diff(np.append(at, len(starts)))
     begin = starts[at]
-    own = text[begin]
+    return Phrases(text[begin], begin, np.diff(np.append(at, len(starts))), chosen[at] - begin, grams[chosen[at]])
+
+
+def side_keys(units: np.ndarray, start: np.ndarray, end: np.ndarray, ahead: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each phrase's trigger with the units on its left, and on its right; 0 where the phrase is too short.
+
+    A window has, besides its trigger, half of the rest of its units or more on one side.
+    So two phrases can only share a window if they agree on one of these keys.
+    """
     side = (length - width + 1) // 2
     prefix = prefix_hashes(units)
-    here = chosen[at]
-    before, after = here - side, here + width
-    left = _byte_of(prefix, before, here, before >= offsets[own])
-    right = _byte_of(prefix, after, after + side, after + side <= offsets[own + 1])
-    return Phrases(
-        own,
-        begin - offsets[own],
-        count,
-        grams[here],
-        span_hashes(prefix, begin, begin + count - 1 + length),
-        left,
-        right,
-    )
-
-
-def _byte_of(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(start), np.uint8)
-    out[inside] = (span_hashes(prefix, start[inside], end[inside]) & np.uint64(0xFF)).astype(np.uint8)
-    return out
+    here = start + ahead
+    left, right = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    room = here - side >= start
+    left[room] = span_hashes(prefix, here[room] - side, here[room] + width)
+    room = here + width + side <= end
+    right[room] = mix(span_hashes(prefix, here[room], here[room] + width + side) + U64(1))
+    return left, right

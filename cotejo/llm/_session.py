@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder takes its place for the session.
+    It is the cluster's ``spark.checkpoint.dir``. Where that is unset a temporary folder
+    takes its place on a local master, as in tests; on any other an error is raised, since
+    executors would not see each other's files there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share; master is {master!r}")
         at = "file://" + tempfile.mkdtemp(prefix="cotejo-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,6 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt into one bucket for each shuffle partition by ``column``.
+
+    Joins on ``column`` then move the other side only. The table is external: the
+    session's catalog knows it for the length of the session, its files lie with the others.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    known = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("compression", "uncompressed").option("path", path).bucketBy(partitions(spark), column).saveAsTable(known)
+    return spark.table(known)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

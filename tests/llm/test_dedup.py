@@ -1,5 +1,6 @@
 """Repeat removal and near duplicates against plain versions."""
 
+import hashlib
 import math
 import random
 
@@ -8,7 +9,7 @@ import fixtures as fx
 import numpy as np
 import pytest
 
-from cotejo.llm import embedding_dedup, minhash_dedup, substring_dedup, suffix_dedup
+from cotejo.llm import _repeats, embedding_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from cotejo.llm._components import components
 
 HARD = [False, True]
@@ -37,6 +38,91 @@ def test_repeats_of_hard_rows(spark):
         assert remove(fx.documents(spark, [])).count() == 0
 
 
+def chained(seed: int, n: int) -> list[tuple]:
+    """Documents cut from a few others at random places, so that passages share parts of each other."""
+    rng = random.Random(seed)
+    bases = [fx.words(k, 400, 3000) for k in range(4)]
+    rows = []
+    for k in range(n):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            base = rng.choice(bases)
+            at = rng.randrange(len(base) - 300)
+            parts.append(base[at : at + rng.randint(20, 900)])
+        rows.append((k, rng.choice([" ", "\n\t ", ""]).join(parts), "en", "s", 1))
+    rows += [(n, "ab " * 400, "en", "s", 1), (n + 1, "x " + "ab " * 300, "en", "s", 1), (n + 2, "a" * 700, "en", "s", 1), (n + 3, "b" + "a" * 650, "en", "s", 1)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("size", [2500, 1 << 20])
+def test_repeats_across_blocks(spark, monkeypatch, size):
+    """Passages that overlap in every way, with many small blocks and with few."""
+    monkeypatch.setattr(_repeats, "BLOCK_BYTES", size)
+    rows = chained(4, 120)
+    docs, texts = fx.documents(spark, rows), fx.texts_by_id(rows)
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeated_bytes(texts)
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.repeated_words(texts)
+
+
+def test_kept_text(spark):
+    rows = chained(5, 12)
+    for r in substring_dedup.remove_repeats(fx.documents(spark, rows), keep_text=True).collect():
+        assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 and len(r.kept.split()) == r.n_words - r.n_removed
+    for r in suffix_dedup.remove_repeats(fx.documents(spark, rows), keep_bytes=True).collect():
+        assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
+
+
+def test_what_the_automata_do_not_find_stays(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda *_: [])
+    assert sum(r.n_removed for r in substring_dedup.remove_repeats(fx.documents(spark)).collect()) == 0
+
+
+def test_what_the_suffix_order_does_not_tell_stays(spark, monkeypatch):
+    """Two texts that share a passage, but no phrase with its first and last strings."""
+    passage = fx.words(3, 30)
+    rows = [(1, fx.words(1, 20) + passage + fx.words(2, 20), "en", "s", 1), (2, fx.words(4, 20) + passage + fx.words(5, 20), "en", "s", 1)]
+    removed = lambda: {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(fx.documents(spark, rows)).collect()}
+    assert removed()[2] >= len(passage)
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda data, at, depth: (np.arange(len(at)), np.ones(len(at), bool)))
+    assert removed()[2] < len(passage)
+
+
+def test_suffix_order():
+    rng = random.Random(2)
+    data = np.array([rng.choice([0, 1, 127, 128, 255]) for _ in range(4000)], np.uint8)
+    at = np.arange(len(data) - 20)
+    order, new = suffix_dedup.suffix_order(data, at, 20)
+    held = [data[a : a + 20].tobytes() for a in at[order]]
+    assert held == sorted(held) and new.tolist() == [True, *(a != b for a, b in zip(held, held[1:], strict=False))]
+
+
+def test_more_passages_than_an_automaton_takes(monkeypatch):
+    """One trigger with many phrases and several automata find what one finds."""
+    shared = fx.words(8, 30, 5000).split(" ")
+    phrases = [" ".join([*fx.words(k % 7, 30, 5000).split(" "), *shared, *fx.words(k % 5 + 50, 30, 5000).split(" ")]).encode() for k in range(60)]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in phrases])])
+    shard = _repeats.Shard(np.frombuffer(b"".join(phrases), np.uint8), offsets, np.full(60, 40), np.arange(60), np.zeros(60, bool))
+    found = []
+    for most in (400_000, 100):
+        monkeypatch.setattr(substring_dedup, "AUTOMATON_WORDS", most)
+        found.append(sorted(zip(*map(list, substring_dedup.located(50, 8)(shard)), strict=True)))
+    assert found[0] == found[1] and len({f[0] for f in found[0]}) > 50
+
+
+def test_no_shared_folder(spark):
+    from cotejo.llm import _session
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        _session.shared_dir(Cluster)
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, width):
     got = minhash_dedup.near_duplicates(fx.documents(spark, extra=True), width=width).collect()
