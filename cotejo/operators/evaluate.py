@@ -32,7 +32,7 @@ def classification_metrics(rows: DataFrame, truth: str, predicted: str) -> DataF
 
 
 def correlations(rows: DataFrame, a: str, b: str, group: str) -> DataFrame:
-    """Pearson and Spearman correlation of two columns in each group."""
+    """Pearson and Spearman correlation of two columns in each group; null where a column is constant in it."""
     both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
 
     def rank(c: str) -> Column:
@@ -40,7 +40,11 @@ def correlations(rows: DataFrame, a: str, b: str, group: str) -> DataFrame:
         return F.rank().over(Window.partitionBy(group).orderBy(c)) + (tied - 1) / 2
 
     ranked = both.withColumns({"_a": rank(a), "_b": rank(b)})
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.corr("_a", "_b"), 6).alias("spearman"))
+
+    def correlation(x: str, y: str) -> Column:
+        return F.round(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), 6)
+
+    return ranked.groupBy(group).agg(F.count("*").alias("n"), correlation(a, b).alias("pearson"), correlation("_a", "_b").alias("spearman"))
 
 
 def bucket_of(key: Column, buckets: int = 100) -> Column:

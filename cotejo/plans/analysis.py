@@ -249,7 +249,7 @@ ORACLES = {
     "confusion_matrix": "SELECT quality AS truth, toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL",
     "human_correlation": "WITH r AS (SELECT lang, n_chars, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS ra, "
     "rank() OVER (PARTITION BY lang ORDER BY quality) + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2.0::DOUBLE AS rb FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL) "
-    "SELECT lang, count(*) AS n, round(corr(n_chars, quality), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY lang",
+    "SELECT lang, count(*) AS n, round(covar_pop(n_chars, quality) / nullif(stddev_pop(n_chars) * stddev_pop(quality), 0), 6) AS pearson, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 6) AS spearman FROM r GROUP BY lang",
     "group_split": "SELECT doc_id, source, CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, source, ('0x' || substr(md5(source), 1, 8))::BIGINT % 100 AS b FROM documents)",
     "balanced_sample": "SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL QUALIFY row_number() OVER (PARTITION BY quality ORDER BY ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT, doc_id) "
     "<= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality))",

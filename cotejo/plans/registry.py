@@ -1,6 +1,6 @@
 """All queries of the library by name, and their SQL for comparison."""
 
-from cotejo.plans import analysis, coverage, texts
+from cotejo.plans import analysis, coverage, files, texts
 
-QUERIES: dict = coverage.QUERIES | texts.QUERIES | analysis.QUERIES
-ORACLES: dict = coverage.ORACLES | texts.ORACLES | analysis.ORACLES
+QUERIES: dict = coverage.QUERIES | texts.QUERIES | analysis.QUERIES | files.QUERIES
+ORACLES: dict = coverage.ORACLES | texts.ORACLES | analysis.ORACLES | files.ORACLES

@@ -35,8 +35,9 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations")
-    last = lambda role: F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    return talk.groupBy("conv_id").agg(last("system").alias("system"), last("user").alias("user"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    system, user = T.flattened(F.col("messages"))
+    return talk.groupBy("conv_id").agg(turns.alias("messages")).select("conv_id", system.alias("system"), user.alias("user"))
 
 
 def prompt_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:

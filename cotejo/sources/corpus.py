@@ -37,9 +37,12 @@ def _listing(spark: SparkSession, root: str, glob: str, content: bool) -> DataFr
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """FILE rows of all ``*.c`` and ``*.cpp`` files exactly four levels below ``root``."""
     found = _listing(spark, root, "*.{c,cpp}", content=True)
-    if found is None:
-        return spark.createDataFrame([], FILE)
-    return found.select(
+    return spark.createDataFrame([], FILE) if found is None else files_of(found)
+
+
+def files_of(listing: DataFrame) -> DataFrame:
+    """FILE rows of a listing (path, content)."""
+    return listing.select(
         _segment(F.col("path"), 3).alias("curso"),
         _segment(F.col("path"), 2).alias("carpeta"),
         _segment(F.col("path"), 1).alias("subcarpeta"),
@@ -71,10 +74,13 @@ def problems_by_assignment(inventory: DataFrame) -> DataFrame:
 def scan_references(spark: SparkSession, root: str) -> DataFrame:
     """REFERENCE_FILE rows of ``referencia_v{n}_{model}.c`` files; names without a model are passed over."""
     found = _listing(spark, root, "referencia_*.c", content=False)
-    if found is None:
-        return spark.createDataFrame([], REFERENCE_FILE)
+    return spark.createDataFrame([], REFERENCE_FILE) if found is None else references_of(found)
+
+
+def references_of(listing: DataFrame) -> DataFrame:
+    """REFERENCE_FILE rows of a listing (path)."""
     name = _segment(F.col("path"), 0)
-    return found.select(
+    return listing.select(
         *[_segment(F.col("path"), k).alias(c) for c, k in zip(KEY, (3, 2, 1), strict=True)],
         version_of(name).alias("version"),
         model_of(name).alias("modelo"),

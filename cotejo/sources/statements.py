@@ -51,16 +51,20 @@ def limited(rows: DataFrame, n: int | None, order: str = "pos") -> DataFrame:
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """Completed keys of a JSON list of triples; a file that is missing or no such list gives none."""
-    kind = "array<array<string>>"
+    """Completed keys of JSON lists of triples and of the table that ``append_completed`` writes.
+
+    What is missing, or no such list, gives none.
+    """
+    schema = ", ".join(f"{c} string" for c in KEY)
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=True, pathGlobFilter="*.{json,txt}")
+        table = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        text = spark.createDataFrame([], "value string")
-    keys = text.select(F.explode(F.from_json("value", kind)).alias("k"))
-    return keys.select(*[F.get("k", F.lit(i)).alias(c) for i, c in enumerate(KEY)]).dropna()
+        return spark.createDataFrame([], schema)
+    keys = text.select(F.explode(F.from_json("value", "array<array<string>>")).alias("k"))
+    return keys.select(*[F.get("k", F.lit(i)).alias(c) for i, c in enumerate(KEY)]).unionByName(table).dropna()
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

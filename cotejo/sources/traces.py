@@ -32,7 +32,7 @@ def parse_ground_truth(texts: DataFrame) -> DataFrame:
         part(1).alias("carpeta"),
         part(2).alias("subcarpeta"),
         F.col("group_id").cast("int").alias("group_id"),
-        F.explode(F.filter(F.transform(F.split("line", ","), F.trim), lambda x: x != "")).alias("student"),
+        F.explode(F.filter(F.transform(F.split("line", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("student"),
     )
 
 
@@ -48,6 +48,15 @@ def guilty_pairs(truth: DataFrame) -> DataFrame:
     return pairs.filter("student_a < student_b").distinct()
 
 
+def compared_truth(static: DataFrame, dynamic: DataFrame) -> DataFrame:
+    """The union of two truth sets, with ``in_static`` and ``in_dynamic``: both for what they share, one for what only it has."""
+    keys = static.columns
+    each = static.distinct().select(*keys, F.lit(True).alias("s"), F.lit(False).alias("d")).unionByName(
+        dynamic.distinct().select(*keys, F.lit(False).alias("s"), F.lit(True).alias("d"))
+    )
+    return each.groupBy(*keys).agg(F.max("s").alias("in_static"), F.max("d").alias("in_dynamic"))
+
+
 def parse_traces(texts: DataFrame) -> DataFrame:
     """One row for each path of each trace (file, value): its counters, results, events and entries."""
     paths = texts.select("file", F.explode(F.from_json("value", IDE_TRACE)).alias("path", "trace"))

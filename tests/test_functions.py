@@ -181,3 +181,37 @@ def test_stream(spark, tmp_path):
     query = ingest.process(ingest.arriving_code(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda df, _: seen.extend(r.hash for r in df.collect()))
     query.awaitTermination()
     assert len(seen) == 2 and len(set(seen)) == 1
+
+
+def test_correlations_of_constant_and_single_rows(spark):
+    rows = [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 4.0), ("b", 1, 5.0), ("b", 2, 5.0), ("c", 1, 1.0), (None, 1, 1.0), (None, 2, 0.0), ("d", None, 1.0)]
+    got = {r.g: (r.n, r.pearson, r.spearman) for r in evaluate.correlations(spark.createDataFrame(rows, "g string, x int, y double"), "x", "y", "g").collect()}
+    assert got == {"a": (3, 0.981981, 1.0), "b": (2, None, None), "c": (1, None, None), None: (2, -1.0, -1.0)}
+
+
+def test_clone_types(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("int a; // x", "int  a;", 1.0, 1.0), ("int a;", "int b;", 0.3, 0.2), ("int a;", "float b; c", 0.7, 0.1), ("int a;", "while (x) y", 0.1, 0.9), ("int a;", "x", 0.0, 0.0)]
+    got = spark.createDataFrame(rows, "a string, b string, j double, c double").select(clones.clone_type(F.col("a"), F.col("b"), F.col("j"), F.col("c")).alias("t")).collect()
+    assert [r.t for r in got] == ["I", "II", "III", "IV", None]
+
+
+def test_generators(spark):
+    from cotejo.operators import generators
+
+    tasks_ = spark.createDataFrame([("t1", "uno"), ("t2", "dos")], "task string, prompt string")
+    generators.register_generator("table", generators.from_table(spark.createDataFrame([("t1", "x", None)], generators.ANSWERS)))
+    assert [tuple(r) for r in generators.generator("table")(tasks_).collect()] == [("t1", "x", None)]
+    generators.register_generator("upper", generators.calling(lambda prompts: [(p.upper(), None) for p in prompts]))
+    assert {r.task: r.answer for r in generators.generator("upper")(tasks_).collect()} == {"t1": "UNO", "t2": "DOS"}
+
+    def busy(prompts):
+        raise RuntimeError("429 busy")
+
+    failed = generators.calling(busy)(tasks_)
+    assert {r.state for r in tasks.answered(tasks_, failed).collect()} == {"retry"}
+    with pytest.raises(KeyError, match="upper"):
+        generators.generator("other")
+    generators.register_featurizer("length", lambda code: code.select("key", F.length("text").cast("double").alias("n")))
+    assert generators.featurizer("length")(spark.createDataFrame([("k", "abc")], "key string, text string")).first().n == 3.0
