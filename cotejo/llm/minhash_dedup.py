@@ -10,12 +10,17 @@ Candidates are compared signature batch by signature batch. With a uniform prior
 posterior probability of a link falls below ``MISS``. Survivors are verified exactly, on
 the full sets of both whole texts.
 
-First each member of a bucket of several blocks is compared with the bucket's first document,
-which takes work in proportion to the rows. Then members of different components are compared,
-large buckets in pairs of blocks; members that verified links connect already are not. A pair
-counts in the first band it shares only. A bucket with many such pairs sends a spanning
-forest of them for verification, and the rest only where that leaves its components apart.
-So a group of copies costs a few pairs for each copy, and no link between components is lost.
+This takes three rounds, each of which ends with the components of the links it has verified:
+
+1. Each member of a bucket of several blocks is compared with the bucket's first document.
+2. Buckets whose members are in different components are dealt into cells of bounded size. The members of
+   a bucket's largest component meet the others, but not each other. Each cell sends a spanning forest of its
+   candidates, the most similar ones first, for verification.
+3. Members that still have candidates in other components are dealt into cells with their texts, and all their
+   pairs are verified there. Only links that join components leave a cell.
+
+So pairs never leave a cell but as forests, which are smaller than the cell, and no link between
+components is lost. A pair counts in the first band it shares only.
 
 Defined results: a null or empty text has an empty set and links with nothing, nor
 does a row with a null id; rows that repeat an id are one document with the links of all
@@ -41,8 +46,8 @@ WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 40, 6
 #: Posterior probability of a link below which a candidate is pruned, and bytes in a batch.
 MISS, BATCH = 1e-5, 40
-#: Members of a bucket in a block, and unverified pairs for each member that a cell sends at once.
-BLOCK, FEW = 1024, 1
+#: Most members of a bucket in a block, and most shingles of them if a text alone has no more.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 PAIRS_AT_ONCE = 20_000
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -135,29 +140,34 @@ def _keys() -> F.Column:
     )
 
 
+def _blocks(n: F.Column, shingles: F.Column) -> F.Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def live_rows(firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes that share a bucket with another one, and the buckets of two or more.
 
-    Classes: doc_id, text_key, n_shingles, sig, text and their keys. Buckets: key, the
+    Classes, each once: doc_id, text_key, n_shingles, sig, text and their keys. Buckets: key, the
     first document in it and the number of blocks.
     """
-    entries = firsts.select("doc_id", "text_key", F.explode(_keys()).alias("at")).select("doc_id", "text_key", "at.band", "at.key")
+    entries = firsts.select("doc_id", "text_key", "n_shingles", F.explode(_keys()).alias("at")).select("doc_id", "text_key", "n_shingles", "at.band", "at.key")
     first = F.min(F.struct("doc_id", "text_key")).alias("hub")
-    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), first).filter("n > 1")
-    buckets = written(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "hub"), "minhash-buckets")
+    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), first).filter("n > 1")
+    buckets = written(buckets.select("key", _blocks(F.col("n"), F.col("shingles")).alias("blocks"), "hub"), "minhash-buckets")
     keys = entries.join(buckets.select("key", "blocks"), "key").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("band", "key", "blocks")).alias("keys"))
+    live = firsts.join(keys, ["doc_id", "text_key"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    live = firsts.join(keys, ["doc_id", "text_key"]).join(texts, ["doc_id", "text_key"])
-    return written(live, "minhash-live"), buckets
+    texts = texts.join(live.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    return written(live.join(texts, ["doc_id", "text_key"]), "minhash-live"), buckets
 
 
 def verify(pairs: DataFrame, live: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b and linked of every pair of classes, from their full sets."""
-    texts = live.select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"])
+    """a and b of the pairs of classes that are linked, from their full sets."""
 
     def side(name: str) -> DataFrame:
-        return texts.select(F.col("doc_id").alias(name), F.col("text_key").alias(f"{name}_key"), F.col("text").alias(f"{name}_text"))
+        return live.select(F.col("doc_id").alias(name), F.col("text_key").alias(f"{name}_key"), F.col("text").alias(f"{name}_text"))
 
+    # classes stand once in ``live``, so Spark can split a hub's pairs
     both = pairs.join(side("b"), ["b", "b_key"]).join(side("a"), ["a", "a_key"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +185,10 @@ def verify(pairs: DataFrame, live: DataFrame, width: int, percent: int) -> DataF
                         linked[done + at + k] = 100 * shared >= percent * (len(x) + len(y) - shared)
                     at += len(other)
                 done += len(part)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "a_key", "b", "b_key")), pa.array(linked)], ["a", "a_key", "b", "b_key", "linked"])
+            at = np.flatnonzero(linked)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at))], ["a", "b"])
 
-    return both.mapInArrow(judged, "a long, a_key long, b long, b_key long, linked boolean")
+    return both.mapInArrow(judged, "a long, b long")
 
 
 def _surviving(sigs: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,77 +239,168 @@ def star_pairs(live: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(pruned, _PAIR).distinct()
 
 
-def _forest(i: np.ndarray, j: np.ndarray, same: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """Which pairs, most similar first, join components that no earlier pair has joined."""
-    root: dict[int, int] = {}
+class Union:
+    """Numbered components that pairs join."""
+
+    def __init__(self, component: np.ndarray):
+        self.of = np.unique(component, return_inverse=True)[1].ravel()
+        self.root = np.arange(int(self.of.max(initial=-1)) + 1)
 
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
+    def _find(self, x: int) -> int:
+        while (up := int(self.root[x])) != x:
+            self.root[x] = self.root[up]
             x = up
         return x
 
-    taken = []
-    for k in np.argsort(-same, kind="stable").tolist():
-        a, b = find(int(component[i[k]])), find(int(component[j[k]]))
-        if a != b:
-            root[a] = b
-            taken.append(k)
-    return np.array(taken, np.int64)
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs join components that none before them has joined."""
+        joined = []
+        for k, (a, b) in enumerate(zip(self.of[i].tolist(), self.of[j].tolist(), strict=True)):
+            a, b = self._find(a), self._find(b)
+            if a != b:
+                self.root[a] = b
+                joined.append(k)
+        return np.array(joined, np.int64)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        while (up := self.root[self.root] != self.root).any():
+            self.root[up] = self.root[self.root][up]
+        return self.root[self.of[i]] != self.root[self.of[j]]
+
+
+_CELL = ["key", "lo", "hi"]
+_MEMBER = "key long, lo int, hi int, side int, band byte, component long, doc_id long, text_key long"
+
 
+def cells(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of every bucket that has several components, in cells of two blocks at most.
 
-def cross_pairs(live: DataFrame, roots: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Surviving pairs of different components in each bucket; ``rest`` marks those of buckets that kept some back."""
+    A bucket's largest component has blocks of its own, which meet those of the other members only.
+    """
+    at = live.select("doc_id", "text_key", "n_shingles", F.explode("keys").alias("at")).select("doc_id", "text_key", "n_shingles", "at.band", "at.key")
+    named = at.join(roots.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id"))
+    counts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    mixed = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("main")).filter("parts > 1")
+    blocks = _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("blocks")
+    mixed = written(mixed.select("key", F.col("main.component").alias("main"), blocks, _blocks(F.col("main.n"), F.col("main.s")).alias("main_blocks")), "minhash-mixed")
+    member = named.join(mixed, "key").withColumn("in_main", F.col("component") == F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("doc_id", "text_key"), n).cast("int")
+    member = member.withColumn("side", F.when(F.col("in_main"), F.col("blocks") + place(F.col("main_blocks"))).otherwise(place(F.col("blocks"))))
+    met = F.sequence(F.lit(0), F.col("blocks") + F.when(F.col("in_main"), 0).otherwise(F.col("main_blocks")) - 1)
+    cell = member.select("key", "side", "band", "component", "doc_id", "text_key", F.explode(met).alias("with"))
+    return cell.select("key", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "side", "band", "component", "doc_id", "text_key")
+
+
+def _dealt(cell_rows: DataFrame, live: DataFrame, columns: list[str]) -> DataFrame:
+    full = cell_rows.join(live.select("doc_id", "text_key", *columns), ["doc_id", "text_key"])
+    return full.repartition(partitions(live.sparkSession), *_CELL).sortWithinPartitions(*_CELL, "component", "doc_id", "text_key")
+
+
+def _candidates(part: pa.RecordBatch, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Surviving pairs of different components in whole cells, the most similar ones first, and each member's cell."""
+    sizes, component, band, side = (part.column(c).to_numpy() for c in ("n_shingles", "component", "band", "side"))
+    new = np.ones(part.num_rows, bool)
+    new[1:] = np.any([part.column(c).to_numpy()[1:] != part.column(c).to_numpy()[:-1] for c in _CELL], axis=0)
+    cell = np.cumsum(new) - 1
+    cell_end = np.searchsorted(cell, cell, "right")
+    new[1:] |= component[1:] != component[:-1]
+    run = np.cumsum(new) - 1
+    run_end = np.searchsorted(run, run, "right")
+    found = [(np.empty(0, np.int64),) * 3]
+    if (run_end != cell_end).any():
+        sigs = _matrix(part.column("sig"))
+        across = part.column("lo").to_numpy() != part.column("hi").to_numpy()
+        for i, j in between(run_end, cell_end, PAIRS_AT_ONCE):
+            fit = ~across[i] | (side[i] != side[j])
+            i, j, same = _surviving(sigs, sizes, i[fit], j[fit], least, percent)
+            shared = (sigs[i] == sigs[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
+            first = shared.argmax(axis=1) == band[i]
+            found.append((i[first], j[first], same[first]))
+    i, j, same = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(-same, kind="stable")
+    return i[order], j[order], same[order], cell
+
+
+def _in_cell(component: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """A number for each component of each cell."""
+    order = np.lexsort((component, cell))
+    new = np.ones(len(order), bool)
+    new[1:] = (component[order][1:] != component[order][:-1]) | (cell[order][1:] != cell[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def forest_pairs(live: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Of each cell's candidates a spanning forest of the components that they join."""
     from cotejo.llm.embedding_dedup import whole_cells
 
     least = least_matches(percent, MISS)
-    labelled = live.select("doc_id", "text_key", "n_shingles", "sig", F.explode("keys").alias("at")).join(
-        roots.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left"
-    )
-    blocks = F.col("at.blocks")
-    member = labelled.select(
-        "doc_id", "text_key", "n_shingles", "sig", F.coalesce("component_id", "doc_id").alias("component"), F.col("at.band").alias("band"), F.col("at.key").alias("key"),
-        F.pmod(F.xxhash64("doc_id", "text_key"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"),
-    )
-    cells = member.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")}).drop("with")
-    by = ["key", "lo", "hi"]
-    cells = cells.repartition(partitions(live.sparkSession), *by).sortWithinPartitions(*by, "component")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_cells(batches, by):
-            doc, key, sizes, component, band, own = (part.column(c).to_numpy() for c in ("doc_id", "text_key", "n_shingles", "component", "band", "own"))
-            new = np.ones(part.num_rows, bool)
-            new[1:] = np.any([part.column(c).to_numpy()[1:] != part.column(c).to_numpy()[:-1] for c in by], axis=0)
-            cell = np.cumsum(new) - 1
-            cell_end = np.searchsorted(cell, cell, "right")
-            new[1:] |= component[1:] != component[:-1]
-            run = np.cumsum(new) - 1
-            run_end = np.searchsorted(run, run, "right")
-            if (run_end == cell_end).all():
+        for part in whole_cells(batches, _CELL):
+            i, j, _, cell = _candidates(part, least, percent)
+            doc, key, component = (part.column(c).to_numpy() for c in ("doc_id", "text_key", "component"))
+            taken = Union(_in_cell(component, cell)).join(i, j)
+            yield pa.RecordBatch.from_arrays(_pairs(doc, key, i[taken], j[taken]), ["a", "a_key", "b", "b_key"])
+
+    return _dealt(cells(live, roots), live, ["n_shingles", "sig"]).mapInArrow(compared, _PAIR).distinct()
+
+
+def open_members(live: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The members of cells that still have candidates in another component."""
+    from cotejo.llm.embedding_dedup import whole_cells
+
+    least = least_matches(percent, MISS)
+    names = [x.split(" ")[0] for x in _MEMBER.split(", ")]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_cells(batches, _CELL):
+            i, j, _, _ = _candidates(part, least, percent)
+            yield part.select(names).take(pa.array(np.unique(np.concatenate([i, j]))))
+
+    return _dealt(cells(live, roots), live, ["n_shingles", "sig"]).mapInArrow(compared, _MEMBER)
+
+
+def links_in_cells(members: DataFrame, live: DataFrame, width: int, percent: int) -> DataFrame:
+    """a and b: links that join components, from verifying all candidates of each cell on full sets."""
+    from cotejo.llm.embedding_dedup import whole_cells
+
+    least = least_matches(percent, MISS)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_cells(batches, _CELL, rows=BLOCK):
+            i, j, _, cell = _candidates(part, least, percent)
+            if not len(i):
                 continue
-            sigs = _matrix(part.column("sig"))
-            across = part.column("lo").to_numpy() != part.column("hi").to_numpy()
-            found = []
-            for i, j in between(run_end, cell_end, PAIRS_AT_ONCE):
-                fit = ~across[i] | (own[i] != own[j])
-                i, j, same = _surviving(sigs, sizes, i[fit], j[fit], least, percent)
-                shared = (sigs[i] == sigs[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
-                first = shared.argmax(axis=1) == band[i]
-                found.append((i[first], j[first], same[first]))
-            i, j, same = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(cell[i], kind="stable")
-            i, j, same = i[order], j[order], same[order]
-            edges = np.searchsorted(cell[i], np.arange(cell[-1] + 2))
-            members = np.bincount(cell)
-            take, rest = np.ones(len(i), bool), np.zeros(len(i), bool)
-            for c in np.flatnonzero((np.diff(edges) > FEW * members) & (not all_pairs)):
-                mine = slice(edges[c], edges[c + 1])
-                take[mine] = False
-                take[edges[c] + _forest(i[mine], j[mine], same[mine], component)] = True
-                rest[mine] = True
-            yield pa.RecordBatch.from_arrays([*_pairs(doc, key, i[take], j[take]), pa.array(rest[take])], ["a", "a_key", "b", "b_key", "rest"])
-
-    return cells.mapInArrow(compared, f"{_PAIR}, rest boolean").groupBy("a", "a_key", "b", "b_key").agg(F.max("rest").alias("rest"))
+            # the sets of all members as sorted (member, shingle) pairs, the shingles numbered
+            sets = [shingle_sets(data, offsets, width) for _, data, offsets in text_chunks(part, "text")]
+            size = np.concatenate([np.diff(edges) for _, edges in sets])
+            _, shingle = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+            edges = np.concatenate([[0], np.cumsum(size)])
+            held = np.sort(np.repeat(np.arange(len(size)), size) << 32 | shingle.ravel())
+            doc, union, links = part.column("doc_id").to_numpy(), Union(_in_cell(part.column("component").to_numpy(), cell)), []
+            small, large = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+            upto, lo = np.cumsum(size[small]), 0
+            while lo < len(i):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 500_000)))
+                x, y = small[lo:hi], large[lo:hi]
+                lo = hi
+                apart = union.apart(x, y)
+                x, y = x[apart], y[apart]
+                n = size[x]
+                which = np.repeat(np.arange(len(x)), n)
+                ask = (held[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + edges[x][which]] & 0xFFFFFFFF) | y[which] << 32
+                at = np.minimum(np.searchsorted(held, ask), len(held) - 1)
+                shared = np.bincount(which[held[at] == ask], minlength=len(x))
+                linked = 100 * shared >= percent * (n + size[y] - shared)
+                x, y = x[linked], y[linked]
+                new = union.join(x, y)
+                links.append((x[new], y[new]))
+            x, y = (np.concatenate(c) for c in zip(*links, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(doc[y])], ["a", "b"])
+
+    return _dealt(members, live, ["n_shingles", "sig", "text"]).mapInArrow(compared, "a long, b long")
 
 
 def between(first: np.ndarray, end: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -321,23 +423,20 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     firsts = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig")).alias("v"))
     classes = written(firsts.select("k1", "k2", "v.*"), "minhash-classes")
     live, buckets = live_rows(classes.drop("k1", "k2").dropDuplicates(["doc_id", "text_key"]), docs)
-    checked = written(verify(star_pairs(live, buckets, percent), live, width, percent), "minhash-verified")
+    stars = verify(star_pairs(live, buckets, percent), live, width, percent)
     # rows that repeat an id are one document: their classes hang together
     repeated = usable.groupBy("doc_id").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k <> l").select(F.col("doc_id").alias("a"))
     same_id = usable.select(F.col("doc_id").alias("a"), "k1", "k2").join(repeated, "a", "left_semi").join(classes.select("k1", "k2", F.col("doc_id").alias("b")), ["k1", "k2"])
-    links = checked.filter("linked").select("a", "b").unionByName(same_id.filter("a <> b").select("a", "b").distinct())
-    roots = written(components(links), "minhash-roots")
-    for all_pairs in (False, True):
-        met = written(cross_pairs(live, roots, percent, all_pairs), "minhash-met")
-        new = met.select("a", "a_key", "b", "b_key").join(checked, ["a", "a_key", "b", "b_key"], "left_anti")
-        found = written(verify(new, live, width, percent), "minhash-verified")
-        checked = checked.unionByName(found)
-        linked = found.filter("linked").select("a", "b")
-        if not linked.isEmpty():
-            stars = roots.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            roots = written(components(stars.unionByName(linked)), "minhash-roots")
-        if all_pairs or met.filter("rest").isEmpty():
-            break
+    roots = written(components(stars.unionByName(same_id.filter("a <> b").select("a", "b").distinct())), "minhash-roots")
+
+    def joined(links: DataFrame) -> DataFrame:
+        known = roots.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+        return written(components(known.unionByName(links)), "minhash-roots")
+
+    roots = joined(verify(forest_pairs(live, roots, percent), live, width, percent))
+    members = written(open_members(live, roots, percent), "minhash-open")
+    if not members.isEmpty():
+        roots = joined(links_in_cells(members, live, width, percent))
     members = sets.join(classes.select("k1", "k2", F.col("doc_id").alias("first")), ["k1", "k2"], "left")
     named = members.join(roots.select(F.col("id").alias("first"), "component_id"), "first", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first", F.col("doc_id").cast("long")))
@@ -347,12 +446,14 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
 def keep_one(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, the one of the least id; columns stay as they are.
 
-    Rows with a null id stay; of rows that repeat id and text one stays.
+    Rows with a null id stay; of rows that repeat id and text one stays, the one whose columns
+    hash lowest (maps, which have no hash, aside).
     """
     judged = written(near_duplicates(docs, width=width, percent=percent), "minhash-judged")
     kept = judged.filter("kept and doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
     kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"), F.col("n").alias("_kept_rows"))
     keyed = docs.withColumn("_row_key", F.xxhash64("text"))
     joined = keyed.join(kept, (F.col("doc_id") == F.col("_kept_id")) & (F.col("_row_key") == F.col("_kept_key")))
-    repeated = joined.filter("_kept_rows > 1").dropDuplicates(["_kept_id", "_kept_key"])
-    return joined.filter("_kept_rows = 1").unionByName(repeated).select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    hashed = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    repeated = joined.filter("_kept_rows > 1").groupBy("_kept_id", "_kept_key").agg(F.min_by(F.struct(*docs.columns), hashed).alias("row"))
+    return joined.filter("_kept_rows = 1").select(docs.columns).unionByName(repeated.select("row.*")).unionByName(docs.filter(F.col("doc_id").isNull()))

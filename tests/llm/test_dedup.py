@@ -133,7 +133,6 @@ def test_near_duplicates(spark, width):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A large group of near copies, loosely chained, with buckets cut into small blocks."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
-    monkeypatch.setattr(minhash_dedup, "FEW", 1)
     rng, base = random.Random(3), fx.words(3, 60).split(" ")
     rows = []
     for k in range(60):
