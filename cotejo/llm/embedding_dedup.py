@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned on a bounded sample so that the signs of the rotated
+Equal vectors of a label are one vector with a weight, known by its least id, so copies are
+neither probed for nor compared. A rotation is learned on a bounded sample so that the signs of the rotated
 coordinates make balanced codes that stray little from them (ITQ). The code is cut into
-tables of up to ``TABLE_BITS`` bits. Vectors meet in a bucket of a table: every vector is at
+tables of ``TABLE_BITS`` bits, or more where the largest label has more than 2**16 different vectors, so that chance
+meetings grow no faster than the rows. Vectors meet in a bucket of a table: every vector is at
 *home* under its own bits, and *probes* the keys that a linked vector could have.
 
 Which keys these are follows from the coordinates, so no link is lost. Linked unit
@@ -43,7 +45,8 @@ from cotejo.llm._text import mix
 
 THRESHOLD = 0.98
 SAMPLE = 4096
-CODE_BITS, TABLE_BITS = 64, 16
+#: Bits of a code, and least and most bits of a table.
+CODE_BITS, TABLE_BITS, MOST_TABLE_BITS = 64, 16, 32
 #: Rows of a bucket that are compared with each other in one cell.
 BLOCK = 2048
 #: Units of a rotated coordinate, of a normalised component and of the rotation.
@@ -73,10 +76,10 @@ def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 50) -> tuple[np
 class Codes:
     """Integer coordinates of vectors of one length, cut into tables."""
 
-    def __init__(self, sample: np.ndarray, threshold: float):
+    def __init__(self, sample: np.ndarray, threshold: float, table_bits: int = TABLE_BITS):
         dim = sample.shape[1]
         self.bits = min(CODE_BITS, dim)
-        self.tables = -(-self.bits // TABLE_BITS)
+        self.tables = -(-self.bits // table_bits)
         self.edges = np.linspace(0, self.bits, self.tables + 1).astype(int)
         mean, turn = learn_rotation(sample, self.bits)
         self.turn = np.rint(turn * TURN)
@@ -201,8 +204,19 @@ def vectors_of(embeddings: DataFrame) -> DataFrame:
     return one.select("vec_id", F.xxhash64("v.named").alias("label"), F.col("v.embedding").alias("embedding"))
 
 
+def weighed(vectors: DataFrame) -> DataFrame:
+    """label, embedding, vec_id and weight: each different vector of a label, by its least id, and how often it is there."""
+    return vectors.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+
+
+def table_bits(rows: int) -> int:
+    """Bits of a table for a label of so many vectors: a key for each."""
+    return min(MOST_TABLE_BITS, max(TABLE_BITS, (rows - 1).bit_length()))
+
+
 def learn_codes(vectors: DataFrame, threshold: float, sample: int = SAMPLE) -> dict[int, Codes]:
     """Codes for each length of vectors; learned on the ``sample`` vectors whose ids hash lowest."""
+    bits = table_bits(vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1)
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     lengths = [r["d"] for r in vectors.select(F.size("embedding").alias("d")).distinct().collect()]
     held = pa.RecordBatch.from_arrays([chosen.column("embedding").combine_chunks()], ["embedding"])
@@ -210,12 +224,15 @@ def learn_codes(vectors: DataFrame, threshold: float, sample: int = SAMPLE) -> d
     out = {}
     for d in sorted(lengths):
         own = samples.get(d, np.empty((0, d)))
-        out[d] = Codes(own / np.linalg.norm(own, axis=1, keepdims=True), threshold)
+        out[d] = Codes(own / np.linalg.norm(own, axis=1, keepdims=True), threshold, bits)
     return out
 
 
 def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """vec_id, n, other: in each cell, a vector's links that are first met there and one member it is connected with."""
+    """vec_id, n, other: in each cell, a vector's links that are first met there, by weight, and one member it is connected with.
+
+    ``vectors`` are those of ``weighed``.
+    """
     spark = vectors.sparkSession
     codes = spark.sparkContext.broadcast(learn_codes(vectors, threshold, sample))
 
@@ -304,7 +321,7 @@ def pairs_of(edges: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.n
 def _compare(part: pa.RecordBatch, codes: Codes, threshold: float) -> Iterator[pa.RecordBatch]:
     x = _matrix(part.column("embedding"))
     unit = x / np.sqrt((x**2).sum(axis=1))[:, None]
-    ids, home, own, t = (part.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "home", "own", "t"))
+    ids, home, own, t, weight = (part.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "home", "own", "t", "weight"))
     labels = part.column("label").to_numpy()
     edges = cell_edges(part, ["bucket", "lo", "hi"])
     cell_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
@@ -319,7 +336,8 @@ def _compare(part: pa.RecordBatch, codes: Codes, threshold: float) -> Iterator[p
         if not len(i):
             continue
         first = codes.first_meeting(at[i], at[j], t[i], home[j], home[i] & home[j], ids[j] < ids[i])
-        count += np.bincount(i[first], minlength=len(x)) + np.bincount(j[first], minlength=len(x))
+        np.add.at(count, i[first], weight[j[first]])
+        np.add.at(count, j[first], weight[i[first]])
         a.append(i), b.append(j)
     if not a:
         return
@@ -331,10 +349,14 @@ def _compare(part: pa.RecordBatch, codes: Codes, threshold: float) -> Iterator[p
 def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``embeddings``."""
     vectors = written(vectors_of(embeddings), "hamming-vectors")
-    found = written(link_counts(vectors, threshold, sample, block), "hamming-links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    classes = written(weighed(vectors), "hamming-classes")
+    found = written(link_counts(classes, threshold, sample, block), "hamming-links")
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    told = counts.join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    of_class = classes.join(counts, "vec_id", "left").join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left").select(
+        "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+    )
+    told = vectors.join(of_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     component = F.coalesce("component_id", F.col("vec_id").cast("long"))
     return embeddings.select("vec_id").join(told, "vec_id", "left").select(
         "vec_id",
