@@ -7,11 +7,11 @@ integer boundary that its stretch of the sum crosses. As the order runs by size,
 the words taken differ from the target by about one document at most.
 
 The prefix sum needs each document's rank in its source. No source is ranked in
-one task: documents are numbered in small buckets (source, size class, salt) and
-the counts of the buckets, a few hundred for a source, are summed in two windows.
+one task: documents are numbered in buckets (source, size class, salt), of which a class has
+one for every ``BUCKET_ROWS`` documents, and the counts of the buckets are summed in two windows.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; null ids share a salt; repeated rows are taken or not one by one;
+last in order; null ids are dealt by their texts; repeated rows are taken or not one by one;
 a source without words has target 0 and nothing of it is taken; an empty table
 gives an empty result. Only id, text and source are read, so other columns never clash.
 """
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from cotejo.llm._session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-SALTS = 64
+#: Documents of a size class that are numbered in one bucket, about.
+BUCKET_ROWS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -75,17 +76,20 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row of ``docs``."""
-    salt = F.coalesce(_digest(F.col("doc_id").cast("string"), 4) % SALTS, F.lit(0))
+    """doc_id, size, source_size, target, taken, copies and text_key of every row of ``docs``."""
     bits = F.length(F.bin("size"))
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    placed = sized.select(
+    dealt_by = _digest(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")), 7)
+    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), dealt_by.alias("dealt_by"), F.xxhash64("text").alias("text_key")), "mix-sizes")
+    classed = sized.select(
         "doc_id",
         "size",
+        "text_key",
+        "dealt_by",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"),
         (bits * 16 + F.expr("mod(shiftright(size, greatest(length(bin(size)) - 5, 0)), 16)")).alias("class"),
-        salt.alias("salt"),
     )
+    salts = written(classed.groupBy("key", "class").agg((F.floor(F.count("*") / BUCKET_ROWS) + 1).alias("salts")), "mix-salts")
+    placed = classed.join(salts, ["key", "class"]).withColumn("salt", F.col("dealt_by") % F.col("salts"))
     by_salt = Window.partitionBy("key", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     by_class = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     buckets = placed.groupBy("key", "class", "salt").agg(F.count("*").alias("n"))
@@ -100,7 +104,7 @@ def mix_sources(
     )
     buckets = written(buckets.join(classes, ["key", "class"]).join(targets, "key"), "mix-buckets")
     ranked = placed.withColumn(
-        "nth", F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("size", "doc_id"))
+        "nth", F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("size", "doc_id", "text_key"))
     ).join(buckets, ["key", "class", "salt"])
     rank = F.col("class_before") + F.col("salt_before") + F.col("nth")
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
@@ -112,27 +116,32 @@ def mix_sources(
         "target",
         (F.col("copies") * F.col("size")).alias("taken"),
         "copies",
+        "text_key",
     )
 
 
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns stay as they are.
 
-    ``mixed`` may name a doc_id several times where ``docs`` repeats it: then the
-    copies of that id are shared out evenly over its rows.
+    Of rows that repeat id and text the one whose columns hash lowest (maps, which have no
+    hash, aside) stands for all, and comes as often as the mix takes them together.
     """
-    ids = mixed.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_mix_sum"), F.count("*").alias("_mix_rows"))
-    per_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("source", "text"))
-    numbered = docs.withColumn("_mix_nth", F.row_number().over(per_id) - 1)
-    joined = numbered.join(ids, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    share = F.floor((F.col("_mix_nth") + 1) * F.col("_mix_sum") / F.col("_mix_rows")) - F.floor(F.col("_mix_nth") * F.col("_mix_sum") / F.col("_mix_rows"))
-    repeated = joined.withColumn("_mix_copies", share.cast("int")).filter("_mix_copies > 0")
-    return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(docs.columns)
+    ids = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_text")).agg(F.sum("copies").cast("int").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
+    keyed = docs.withColumn("_mix_key", F.xxhash64("text"))
+    wanted = ids.filter("_mix_copies > 0")
+    # by text as well, or rows without an id would all meet in one task
+    joined = keyed.join(wanted, (F.col("_mix_key") == F.col("_mix_text")) & F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    single = joined.filter("_mix_rows = 1").select("_mix_copies", *docs.columns)
+    hashed = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    several = joined.filter("_mix_rows > 1").groupBy("_mix_key", "_mix_id").agg(F.first("_mix_copies").alias("_mix_copies"), F.min_by(F.struct(*docs.columns), hashed).alias("row"))
+    both = single.unionByName(several.select("_mix_copies", "row.*"))
+    return both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(docs.columns)
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 7))::BIGINT AS dealt_by
   FROM documents),
 per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM per_source),
@@ -148,10 +157,9 @@ targets AS (
     ('0x' || substr(md5('offset of ' || coalesce(source, '')), 1, 6))::BIGINT / 16777216.0::DOUBLE AS u
   FROM leveled),
 classed AS (
-  SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 5, 0)) % 16 AS class,
-    coalesce(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4))::BIGINT % 64, 0) AS salt
-  FROM sized),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, salt, size, doc_id NULLS FIRST) AS k FROM classed),
+  SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 5, 0)) % 16 AS class FROM sized),
+salted AS (SELECT *, dealt_by % (count(*) OVER (PARTITION BY source, class) // 4096 + 1) AS salt FROM classed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, salt, size, doc_id NULLS FIRST) AS k FROM salted),
 taken AS (
   SELECT r.doc_id, r.size, t.source_size, t.target, r.k, t.u,
     CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size::DOUBLE END AS rate
