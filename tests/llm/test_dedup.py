@@ -211,6 +211,30 @@ def test_embeddings(spark, dim, n, block):
     assert sum(count.values()) > 100
 
 
+@pytest.mark.parametrize("bits", [8, 32])
+def test_embeddings_with_other_tables(spark, monkeypatch, bits):
+    """Short and long tables, and a third of the rows copies of one vector."""
+    monkeypatch.setattr(embedding_dedup, "table_bits", lambda rows: bits)
+    rows = vectors(64, 200, seed=3)
+    rows += [(1000 + k, rows[5][1], rows[5][2]) for k in range(100)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS).repartition(4), block=64).collect()
+    count, component = links_of(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (count[k], component[k]) for k in count}
+    assert count[1000] >= 100
+
+
+def test_bits_of_tables():
+    assert [embedding_dedup.table_bits(n) for n in (1, 1 << 16, (1 << 16) + 1, 1 << 20, 1 << 40)] == [16, 16, 17, 20, 32]
+
+
+def test_embeddings_with_clashing_names(spark):
+    rows = vectors(16, 60)
+    docs = spark.createDataFrame(rows, VECTORS)
+    clash = docs.selectExpr("*", "1 as weight", "'x' as n_links", "2 as component_id", "3 as named", "4 as bucket", "5 as n")
+    plain = {tuple(r) for r in embedding_dedup.near_duplicates(docs).collect()}
+    assert {tuple(r) for r in embedding_dedup.near_duplicates(clash).collect()} == plain
+
+
 def test_embeddings_of_hard_rows(spark):
     one, zero = [1.0] + [0.0] * 7, [0.0] * 8
     rows = [(1, one, 1), (2, one, 1), (3, one, 2), (4, one, None), (5, zero, 1), (6, None, 1), (7, [], 1), (8, [None] * 8, 1), (9, [math.nan] * 8, 1), (10, [math.inf] + [0.0] * 7, 1), (None, one, 1), (2, one, 1), (11, [1.0], 1)]
