@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cotejo.functions.style import char_ngrams, runs
 from cotejo.functions.vectors import cosine, jaccard
@@ -36,17 +38,25 @@ def _kernel_fits(references: DataFrame, width: int) -> bool:
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """vec_id, ref_id, similitud and lugar: the ``k`` nearest vectors of the same label.
 
-    ``queries`` is the stated, small side: where it fits a kernel it is sent to all tasks,
-    each of which keeps its best ``k`` for each query, so that no pair is shuffled. Beyond
-    that, queries and vectors are joined by label.
+    ``queries`` is the stated, small side: in blocks that fit a kernel it is sent to all tasks,
+    each of which keeps its best ``k`` for each query, so that no pair is shuffled.
     """
-    width = 64 if (first := queries.select(F.size("embedding")).first()) is None else max(1, first[0])
+    found = [_best_of_block(block, vectors, k, digits) for block in _query_blocks(queries)]
+    return nearest(reduce(DataFrame.unionByName, found), k, "vec_id", "ref_id")
+
+
+def _query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in as many parts as it takes for each to fit a kernel, by the hashes of their ids."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    parts = -(-size["n"] * max(1, size["width"] or 1) // max(1, KERNEL_CELLS // 2)) or 1  # with room for parts of unequal size
+    if parts == 1:
+        return [queries]
+    return [queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == b) for b in range(parts)]
+
+
+def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, digits: int) -> DataFrame:
+    """The ``k`` best of each task's vectors for each query of a block."""
     kinds = "vec_id long, ref_id long, similitud double"
-    if not _kernel_fits(queries, width):
-        named = queries.select(F.col("vec_id"), "label", F.col("embedding").alias("a"))
-        pairs = named.join(vectors.select(F.col("vec_id").alias("ref_id"), "label", "embedding"), "label").filter("vec_id <> ref_id")
-        scored = pairs.select("vec_id", "ref_id", F.round(cosine(F.col("a"), F.col("embedding")), digits).alias("similitud"))
-        return nearest(scored, k, "vec_id", "ref_id")
     held = queries.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
     frozen = queries.sparkSession.sparkContext.broadcast(held)
 
@@ -75,7 +85,47 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: in
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[query])), pa.array(r[ok]), pa.array(s[ok])], ["vec_id", "ref_id", "similitud"])
 
     local = vectors.filter(F.col("label").isNotNull()).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return nearest(local.mapInArrow(best, kinds), k, "vec_id", "ref_id")
+    return local.mapInArrow(best, kinds)
+
+
+def mean_distances(queries: DataFrame, vectors: DataFrame, digits: int = 5) -> DataFrame:
+    """vec_id, label, coseno and distancia: each query's mean cosine with, and Euclidean distance to, the other vectors of each label.
+
+    Each task adds up its own vectors, so what is shuffled is one row for each task, query and label.
+    Pairs without a cosine count for the distance only.
+    """
+
+    def sums(block: DataFrame) -> DataFrame:
+        held = block.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
+        frozen = block.sparkSession.sparkContext.broadcast(held)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = frozen.value
+            ids, column = table.column("vec_id").to_numpy(), table.column("embedding").combine_chunks()
+            unit, plain = _unit(column), _rows_of(column)
+            total: dict[object, np.ndarray] = {}
+            for batch in batches:
+                other, labels = batch.column("vec_id").to_numpy(), batch.column("label").to_pylist()
+                for label in dict.fromkeys(labels):
+                    v = np.flatnonzero([x == label for x in labels])
+                    column = batch.column("embedding").take(pa.array(v))
+                    apart = ids[:, None] != other[v][None, :]
+                    scores = unit @ _unit(column).T
+                    x = _rows_of(column)
+                    gaps = np.sqrt(np.maximum((plain**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * plain @ x.T, 0))
+                    has = apart & np.isfinite(scores)
+                    own = total.setdefault(label, np.zeros((4, len(ids))))
+                    own += [np.where(has, scores, 0).sum(axis=1), has.sum(axis=1), np.where(apart, gaps, 0).sum(axis=1), apart.sum(axis=1)]
+            for label, (cosines, n, gaps, m) in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([label] * len(ids), label_type), *map(pa.array, (cosines, n, gaps, m))], ["vec_id", "label", "c", "n", "g", "m"])
+
+        return local.mapInArrow(add, f"vec_id long, label {vectors.schema['label'].dataType.simpleString()}, c double, n double, g double, m double")
+
+    local = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    label_type = to_arrow_type(vectors.schema["label"].dataType)
+    summed = reduce(DataFrame.unionByName, [sums(block) for block in _query_blocks(queries)]).groupBy("vec_id", "label").agg(*[F.sum(c).alias(c) for c in "cngm"])
+    mean = lambda a, b: F.round(F.try_divide(a, b), digits)
+    return summed.filter("m > 0").select("vec_id", "label", mean(F.col("c"), F.col("n")).alias("coseno"), mean(F.col("g"), F.col("m")).alias("distancia"))
 
 
 def link_counts(vectors: DataFrame, least: float, digits: int = 6, block: int = 1024) -> DataFrame:
@@ -108,8 +158,12 @@ def link_counts(vectors: DataFrame, least: float, digits: int = 6, block: int =
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links")).unionByName(found).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
 
 
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _unit(column: pa.Array) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = _rows_of(column)
     with np.errstate(invalid="ignore", divide="ignore"):
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.bands import gauge_offset, is_significant, risk_band, semantic_band
 from cotejo.functions.style import style_features, style_weight, synthetic_probability
-from cotejo.functions.vectors import cosine, edit_similarity, euclidean, fused, fused_cosine
+from cotejo.functions.vectors import cosine, edit_similarity, fused, fused_cosine
 from cotejo.operators import evaluate, learned, library, report, similarity
 from cotejo.plans._tables import everyone, table
 from cotejo.plans.texts import _PROBABILITY
@@ -39,10 +39,7 @@ def similar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean cosine and Euclidean distance of the query set to each label."""
-    a = _queries(spark, sf_dir).select("vec_id", F.col("embedding").alias("a"))
-    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), "label", F.col("embedding").alias("b"))
-    pairs = b.join(F.broadcast(a), F.col("vec_id") != F.col("ref_id")) if similarity._kernel_fits(a, 64) else b.join(a, F.col("vec_id") != F.col("ref_id"))
-    return pairs.groupBy("vec_id", "label").agg(F.round(F.avg(cosine(F.col("a"), F.col("b"))), 5).alias("coseno"), F.round(F.avg(euclidean(F.col("a"), F.col("b"))), 5).alias("distancia"))
+    return similarity.mean_distances(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"))
 
 
 def fused_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,16 +92,24 @@ def test_bands(spark):
     assert values(spark, bands.gauge_offset(F.col("x")), [100.0], "double") == [pytest.approx(0)]
 
 
-def test_search_on_both_paths(spark, monkeypatch):
+def test_search_in_blocks_of_queries(spark, monkeypatch):
     rows = [(i, i % 2, [float(i), 1.0, 0.5]) for i in range(40)]
     table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     queries = table.filter("vec_id % 10 = 0")
     def run():
         return sorted(tuple(r) for r in similarity.vector_search(queries, table, 3).select("vec_id", "ref_id", "similitud", "lugar").collect())
 
-    fast = run()
-    monkeypatch.setattr(similarity, "KERNEL_CELLS", 1)
+    def means():
+        return sorted(tuple(r) for r in similarity.mean_distances(queries, table).collect())
+
+    fast, distances = run(), means()
+    monkeypatch.setattr(similarity, "KERNEL_CELLS", 8)
+    assert len(similarity._query_blocks(queries)) == 3
     assert run() == fast and len(fast) == 12
+    assert means() == distances and len(distances) == 8
+    own = [r for r in rows if r[1] == 1]
+    wanted = sum(math.dist(rows[10][2], r[2]) for r in own) / len(own)
+    assert [d for q, label, _, d in distances if (q, label) == (10, 1)] == [pytest.approx(wanted, abs=1e-5)]
 
 
 def test_links_in_blocks(spark):
