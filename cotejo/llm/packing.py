@@ -6,11 +6,13 @@ are at most ``capacity`` of them: Spark counts the pieces of each length, and th
 solver works on that histogram, however many documents stand behind it.
 
 The solver takes the largest length that is left and enumerates undominated
-fillings of the room around it, larger members first; the first, best-fit one
-makes the incumbent. A filling is used as many times as the counts allow. Where
+fillings of the room around it, larger members first; the one that wastes least, best fit
+among them, makes the incumbent. A filling is used as many times as the counts allow. Where
 the incumbent needs more sequences than the lower bound, the search backtracks
-from the end, pruning branches whose waste leaves no room for a better solution,
-until its budget of fillings is spent.
+from the end, pruning branches whose waste leaves no room for a better solution; then
+groups of sequences with waste are filled anew in the same way. The search ends at the lower bound, which proves
+the plan best, or when ``BUDGET`` fillings have been looked at, ``AT_ONCE`` of them around one
+length: packing is NP-hard, and the budget trades sequences for time. No document is ever left out.
 
 The plan is laid out as runs: the pieces of one length, in order of rank, go to
 consecutive sequences at one offset. Ranks are dealt in buckets (length, salt) of
@@ -25,7 +27,9 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -40,6 +44,8 @@ from cotejo.llm._session import written
 from cotejo.llm._text import text_chunks
 
 BUCKET_ROWS = 1000
+#: Fillings that the solver looks at, in all and around one length.
+BUDGET, AT_ONCE = 20_000, 400
 #: Pieces of words whose ids a worker keeps for the next chunk.
 KEPT_PIECES = 150_000
 CHUNK_BYTES = 2 << 20
@@ -210,42 +216,71 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0)
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def fillings(room: int, counts: np.ndarray, budget: list[int]) -> Iterator[list[int]]:
-    """Undominated fillings of ``room``, larger members first; ``counts`` are what is left.
+def _dominated(filling: list[int], waste: int, free: int) -> bool:
+    """Whether some members could give way to one length in ``free`` that fills as much or more of the room.
 
-    A filling is maximal: nothing that is left would still fit. One whose members
-    could stand in the place of one larger available length is dominated, and so
-    is passed over: a single member is only exchanged for smaller ones that fill more.
+    ``free`` has a bit for each length that is left beside the filling. Members that add up to
+    a free length, two or more of them, or to as much less as is wasted, are exchanged for it
+    with no loss, and what they leave behind is easier to place.
+    """
+    one = two = 0
+    for x in filling:
+        two |= two << x | one << x
+        one |= one << x | 1 << x
+    if two & free:
+        return True
+    reach, width = one << 1, 1
+    while width < waste:
+        step = min(width, waste - width)
+        reach |= reach << step
+        width += step
+    return bool(waste and reach & free)
+
+
+def fillings(room: int, counts: np.ndarray, budget: list[int], enough: int = -1) -> list[tuple[int, list[int]]]:
+    """(waste, members) of the undominated fillings of ``room``; ``counts`` are what is left.
+
+    Members are tried from the largest that fits downwards. A smaller one than that is only tried
+    where another fits behind it, for as the last member it would be dominated.
+    ``budget`` is how many fillings are looked at: larger members come first, so best fit is among them.
+    One that wastes ``enough`` or less is the last.
     """
     lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1] if x]
+    if not lengths:
+        return [(room, [])]
     left = {x: int(counts[x]) for x in lengths}
-    smallest = lengths[-1] if lengths else room + 1
-    best = room + 1
-
-    def search(room: int, at: int, chosen: list[int]) -> Iterator[list[int]]:
-        nonlocal best
-        if budget[0] <= 0:
-            return
-        if room < smallest or not any(x <= room and left[x] for x in lengths[at:]):
+    smallest = lengths[-1]
+    place = np.searchsorted(-np.array(lengths), -np.arange(room + 1)).tolist()
+    free = sum(1 << x for x in lengths)
+    found: list[tuple[int, list[int]]] = []
+
+    def search(room: int, at: int, chosen: list[int]) -> None:
+        nonlocal free
+        first = max(at, place[room])
+        while first < len(lengths) and not left[lengths[first]]:
+            first += 1
+        if first == len(lengths):
             budget[0] -= 1
-            # a waste bound: only fillings that waste less than those before can help
-            if room < best:
-                best = room
-                yield list(chosen)
+            # the first leaf is best fit; behind it only what is not dominated counts
+            if not found or not _dominated(chosen, room, free):
+                found.append((room, list(chosen)))
             return
-        for k in range(at, len(lengths)):
+        for k in range(first, len(lengths)):
             x = lengths[k]
-            if x > room or not left[x]:
+            if not left[x] or k > first and room - x < smallest:
                 continue
             left[x] -= 1
+            free ^= 0 if left[x] else 1 << x
             chosen.append(x)
-            yield from search(room - x, k, chosen)
+            search(room - x, k, chosen)
             chosen.pop()
+            free |= 1 << x
             left[x] += 1
-            if best == 0 or budget[0] <= 0:
+            if budget[0] <= 0 or found and (found[-1] == (0, chosen + [x]) or found[-1][0] <= enough):
                 return
 
-    yield from search(room, 0, [])
+    search(room, 0, [])
+    return found
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -269,31 +304,32 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def complete_bins(counts: np.ndarray, capacity: int, budget: int = 60_000, per_bin: int = 400) -> list[tuple[int, list[int]]]:
-    """(how many, members) of the sequences that hold all of ``counts``, by length."""
-    counts = counts.astype(np.int64).copy()
+Plan = list[tuple[int, list[int]]]
+
+
+def _search(counts: np.ndarray, capacity: int, spent: list[int], at_once: int, mixed: random.Random | None = None, enough: int = -1) -> Plan:
+    """The best plan that branch and bound finds until its budget of fillings is spent; the first descent is always finished."""
     bound = lower_bound(counts, capacity)
-    best: list[tuple[int, list[int]]] | None = None
+    best: Plan = []
     best_bins = None
-    spent = [budget]
 
     def options(left: np.ndarray) -> Iterator[tuple[int, list[int]]]:
         largest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[largest] -= 1
-        own = [per_bin]
-        found = list(fillings(capacity - largest, rest, own)) if capacity > largest else [[]]
-        spent[0] -= per_bin - own[0] + 1
-        for filling in reversed(found or [[]]):  # least waste first
+        own = [at_once]
+        found = fillings(capacity - largest, rest, own, enough) if capacity > largest else [(0, [])]
+        spent[0] -= at_once - own[0] + 1
+        # of equal waste first what leaves the lengths most even, or by chance
+        found.sort(key=lambda f: (f[0], mixed.random() if mixed else -min((rest[x] for x in f[1]), default=0)))
+        for _, filling in found:
             members = [largest, *filling]
             need = np.bincount(members, minlength=capacity + 1)
             at = np.flatnonzero(need)
             yield int((left[at] // need[at]).min()), members
 
     stack = [(counts, options(counts), 0)] if counts.any() else []
-    path: list[tuple[int, list[int]]] = []
-    if not stack:
-        return []
+    path: Plan = []
     while stack:
         left, choices, bins = stack[-1]
         step = next(choices, None)
@@ -315,11 +351,53 @@ def complete_bins(counts: np.ndarray, capacity: int, budget: int = 60_000, per_b
             continue
         path.append(step)
         stack.append((after, options(after), now))
-        if best is not None and spent[0] <= 0:
+        if best_bins is not None and spent[0] <= 0:
             break
     return best
 
 
+def _sequences(plan: Plan) -> int:
+    return sum(n for n, _ in plan)
+
+
+def _improved(plan: Plan, capacity: int, bound: int, spent: list[int], at_once: int) -> Plan:
+    """``plan`` with groups of sequences, the wasteful ones first, filled anew as long as the budget lasts."""
+    mixed, held = random.Random(7), Counter()
+    for n, members in plan:
+        held[tuple(members)] += n
+    while sum(held.values()) > bound and spent[0] > 0:
+        wasteful = [m for m in held if sum(m) < capacity]
+        full = [m for m in held if sum(m) == capacity]
+        group = mixed.sample(wasteful, min(len(wasteful), mixed.randint(2, 6))) + mixed.sample(full, min(len(full), mixed.randint(2, 12)))
+        counts = np.bincount([x for m in group for x in m], minlength=capacity + 1)
+        own = [min(spent[0], 8 * at_once)]
+        spent[0] -= own[0]
+        again = _search(counts, capacity, own, at_once, mixed)
+        spent[0] += max(0, own[0])
+        filled = lambda ms: sum((capacity - sum(m)) ** 2 * n for n, m in ms)
+        # fewer sequences, or as many with the waste gathered in fewer of them
+        if (_sequences(again), -filled(again)) <= (len(group), -filled([(1, m) for m in group])):
+            held -= Counter(group)
+            for n, m in again:
+                held[tuple(m)] += n
+    return [(n, list(m)) for m, n in held.items()]
+
+
+def complete_bins(counts: np.ndarray, capacity: int, budget: int = BUDGET, at_once: int = AT_ONCE) -> Plan:
+    """(how many, members) of the sequences that hold all of ``counts``, by length.
+
+    No plan has fewer than ``lower_bound``. The incumbent takes the first filling without waste
+    around each length. Where it ends above the bound, half of the budget goes into branch and bound
+    over all fillings, and half into filling groups of the better plan's sequences anew.
+    """
+    counts = counts.astype(np.int64)
+    bound = lower_bound(counts, capacity)
+    plan = _search(counts, capacity, [0], at_once, enough=0)
+    if _sequences(plan) > bound:
+        plan = min(_search(counts, capacity, [budget // 2], at_once), plan, key=_sequences)
+    return plan if _sequences(plan) <= bound else _improved(plan, capacity, bound, [budget // 2], at_once)
+
+
 def layout(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     """Runs of the plan, sorted by length and first rank: where the pieces of a length go."""
     seen: dict[int, int] = {}
@@ -336,7 +414,7 @@ def layout(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "offset"), columns, strict=True))
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, budget: int = 60_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, budget: int = BUDGET) -> DataFrame:
     """The pieces of all documents with the sequence that each goes to and its place there."""
     spark = docs.sparkSession
     pieces = written(cut_pieces(docs, tokenizer, capacity, end_id), "pack-pieces")

@@ -372,3 +372,33 @@ def test_bin_completion_is_best_on_small_cases():
         plan = packing.complete_bins(np.bincount(sizes, minlength=21), 20)
         assert sorted(x for n, m in plan for x in m * n) == sorted(sizes)
         assert sum(n for n, _ in plan) <= fewest(sizes) + (fewest(sizes) > 4)
+
+
+def test_dominated_fillings():
+    bits = lambda *xs: sum(1 << x for x in xs)
+    assert packing._dominated([3, 5], 0, bits(8)) and packing._dominated([3, 5], 1, bits(4)) and packing._dominated([3, 5], 1, bits(9))
+    assert not packing._dominated([3, 5], 0, bits(3, 5, 2, 9)) and not packing._dominated([4, 4], 0, bits(4)) and not packing._dominated([3, 5], 1, bits(2, 7))
+    # against trying every exchange
+    rng = random.Random(3)
+    for _ in range(300):
+        members, waste, left = [rng.randint(1, 12) for _ in range(rng.randint(1, 4))], rng.randint(0, 4), {rng.randint(1, 30) for _ in range(3)}
+        sums = [[x for k, x in enumerate(members) if mask >> k & 1] for mask in range(1, 1 << len(members))]
+        want = any(sum(s) <= y <= sum(s) + waste and s != [y] for s in sums for y in left)
+        assert packing._dominated(members, waste, bits(*left)) == want
+
+
+@pytest.mark.parametrize("n", [20, 1000])
+def test_triplets(n):
+    """Lengths that fill ``n`` sequences exactly, three in each: the hard case of packing."""
+    rng, sizes = random.Random(1), []
+    for _ in range(n):
+        a = rng.randint(514, 1022)
+        low, high = max(513, 2048 - a - 1023), min(1023, 2048 - a - 513)
+        b = rng.randint(low, high)
+        sizes += [a, b, 2048 - a - b]
+    counts = np.bincount(sizes, minlength=2049)
+    assert packing.lower_bound(counts, 2048) == n
+    plan = packing.complete_bins(counts, 2048)
+    held = sum(k * np.bincount(m, minlength=2049) for k, m in plan)
+    assert (held == counts).all() and all(sum(m) <= 2048 for _, m in plan)
+    assert n <= sum(k for k, _ in plan) <= 1.02 * n + 1
