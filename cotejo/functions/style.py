@@ -12,7 +12,6 @@ from cotejo.functions.text import KEYWORDS, without_comments
 CONTROL = ("if", "for", "while", "switch")
 # Java's word boundary knows letters beyond ASCII, its word characters do not: so both ends are spelled out
 _START, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-_WORD = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -23,6 +22,10 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), 6)
 
 
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == word
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -40,21 +43,31 @@ def nesting(text: Column) -> Column:
     return _ratio(walked["sum"], walked["n"])
 
 
-def style_features(text: Column) -> dict[str, Column]:
-    """Name to column; a null text has null features."""
-    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
-    keyword = rf"{_START}(?:{'|'.join(KEYWORDS)}){_END}"
+def runs_of(text: Column) -> Column:
+    """All runs of letters, digits and underscores."""
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+
+
+def style_features(text: Column, runs: Column | None = None) -> dict[str, Column]:
+    """Name to column; a null text has null features.
+
+    ``runs`` are those of ``runs_of``; where they are a column of a step before, they are found once for all features.
+    """
+    runs = runs_of(text) if runs is None else runs
+    count = lambda test: F.size(F.filter(runs, test)).cast("long")
+    # what is left of a run without leading digits is a name or a keyword
+    name = lambda x: F.ltrim(x, F.lit("0123456789"))
+    chars = F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + F.length(name(x)))
     by_line = lines(text)
     blank = F.size(F.filter(by_line, lambda x: F.trim(x) == "")).cast("long")
-    by_kind = {c: _count(text, _START + c + _END) for c in CONTROL}
+    by_kind = {c: count(_is(c)) for c in CONTROL}
     control = by_kind["if"] + by_kind["for"] + by_kind["while"] + by_kind["switch"]
     out = {
         "n_chars": F.length(text).cast("long"),
         "n_lines": F.size(by_line).cast("long"),
-        "n_keywords": _count(text, keyword),
+        "n_keywords": count(lambda x: x.isin(*KEYWORDS)),
         "n_operators": _count(text, r"[-+*/%=<>!&|^~]"),
-        "mean_token": _ratio(chars, F.size(words)),
+        "mean_token": _ratio(chars, count(lambda x: name(x) != "")),
     }
     out |= {f"share_{c}": _ratio(by_kind[c], control) for c in CONTROL}
     out |= {
@@ -67,8 +80,8 @@ def style_features(text: Column) -> dict[str, Column]:
         "own_line_braces": _count(text, r"\n[ \t]*\{"),
         "comment_density": _ratio(F.length(text) - F.length(without_comments(text)), F.length(text)),
         "leading_comment": text.rlike(r"^\s*(?://|/\*)"),
-        "camel_names": _count(text, _START + r"[a-z]+(?:[A-Z][a-z0-9]*)+" + _END),
-        "snake_names": _count(text, _START + r"[a-z0-9]+(?:_[a-z0-9]+)+" + _END),
+        "camel_names": count(lambda x: x.rlike("^[a-z]+(?:[A-Z][a-z0-9]*)+$")),
+        "snake_names": count(lambda x: F.contains(x, F.lit("_")) & x.rlike("^[a-z0-9]+(?:_[a-z0-9]+)+$")),
     }
     return out
 

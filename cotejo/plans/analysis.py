@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions.bands import gauge_offset, is_significant, risk_band, semantic_band
-from cotejo.functions.style import style_features, style_weight, synthetic_probability
+from cotejo.functions.style import runs_of, style_features, style_weight, synthetic_probability
 from cotejo.functions.vectors import cosine, edit_similarity, fused, fused_cosine
 from cotejo.operators import evaluate, learned, library, report, similarity
 from cotejo.plans._tables import everyone, table
@@ -84,8 +84,8 @@ def fingerprint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     logic = similarity.best_reference(docs, table(spark, sf_dir, "benchmark"))
-    features = style_features(F.col("text"))
-    style = docs.select("doc_id", F.coalesce(synthetic_probability(features), F.lit(0.0)).alias("probabilidad"), style_weight(F.coalesce(F.length("text"), F.lit(0))).alias("peso"))
+    features = style_features(F.col("text"), F.col("runs"))
+    style = docs.select("doc_id", "text", runs_of(F.col("text")).alias("runs")).select("doc_id", F.coalesce(synthetic_probability(features), F.lit(0.0)).alias("probabilidad"), style_weight(F.coalesce(F.length("text"), F.lit(0))).alias("peso"))
     return report.two_channel_report(logic, style, "doc_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions import text as T
-from cotejo.functions.style import char_ngrams, style_features, synthetic_probability
+from cotejo.functions.style import char_ngrams, runs_of, style_features, synthetic_probability
 from cotejo.operators.clones import equal_contents
 from cotejo.plans._tables import table
 
@@ -51,15 +51,15 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    features = style_features(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", runs_of(F.col("text")).alias("runs"))
+    features = style_features(F.col("text"), F.col("runs"))
     wanted = ("n_chars", "n_lines", "n_keywords", "n_operators", "mean_token", "share_if", "share_for", "space_indent", "tab_indent", "blank_lines", "same_line_braces", "own_line_braces", "comment_density", "camel_names", "snake_names")
     return docs.select("doc_id", *[features[n].alias(n) for n in wanted])
 
 
 def synthetic_probability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", synthetic_probability(style_features(F.col("text"))).alias("probabilidad"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", runs_of(F.col("text")).alias("runs"))
+    return docs.select("doc_id", synthetic_probability(style_features(F.col("text"), F.col("runs"))).alias("probabilidad"))
 
 
 def char_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
