@@ -10,7 +10,8 @@ every different (ORDER+1)-gram of a chunk of texts. The language with the
 shortest code for the whole text is predicted.
 
 The trees are learned from a bounded sample of labelled rows: for each language
-the ``SAMPLE`` rows whose ids hash lowest, their texts whole.
+the ``SAMPLE`` rows whose ids hash lowest, their texts whole. Spark counts the sample's
+(ORDER+1)-grams; the driver gets these counts, never a text.
 
 The score compares learned languages only. Whether any of them fits is told by the
 bits a byte: all labelled rows are coded under their own language's tree, and a
@@ -28,7 +29,6 @@ scored one by one; only the named columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cotejo.llm._session import written
 from cotejo.llm._text import strings, text_chunks
 
 ORDER = 3
@@ -77,11 +78,16 @@ class ContextTree:
     @classmethod
     def learn(cls, texts: list[str], order: int = ORDER) -> ContextTree:
         data, offsets = strings(pa.array(texts, pa.string()))
-        full = grams(data, offsets, order)
+        return cls.of_counts(*np.unique(grams(data, offsets, order), return_counts=True), order)
+
+    @classmethod
+    def of_counts(cls, full: np.ndarray, n: np.ndarray, order: int = ORDER) -> ContextTree:
+        """The tree of texts in which the different (order+1)-grams ``full`` stand so often."""
         tree = cls([], [], [], [], [])
         for k in range(order + 1):
             own = full if k == 3 else full & np.uint32((1 << (8 * (k + 1))) - 1)
-            symbols, counts = np.unique(own, return_counts=True)
+            symbols, where = np.unique(own, return_inverse=True)
+            counts = np.bincount(where.ravel(), weights=n, minlength=len(symbols)).astype(np.int64)
             contexts, first, distinct = np.unique(symbols >> np.uint32(8), return_index=True, return_counts=True)
             totals = np.add.reduceat(counts, first) if len(first) else counts
             for name, x in zip(("symbols", "symbol_counts", "contexts", "totals", "distinct"), (symbols, counts, contexts, totals, distinct), strict=True):
@@ -94,6 +100,8 @@ class ContextTree:
         bits = np.zeros(len(wanted))
         open_ = np.arange(len(wanted))
         for k in range(order, -1, -1):
+            if not len(self.contexts[k]):
+                continue
             own = wanted[open_] if k == 3 else wanted[open_] & np.uint32((1 << (8 * (k + 1))) - 1)
             c, known = _find(self.contexts[k], own >> np.uint32(8))
             s, seen = _find(self.symbols[k], own)
@@ -115,19 +123,52 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Whole texts of at most ``sample`` labelled rows for each language."""
-    usable = docs.select("doc_id", "lang", "text").filter(
+def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang, half and text of at most ``sample`` labelled rows for each language, rows that repeat an id aside."""
+    usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # only ids are ranked; the texts of those chosen are fetched by a join with that bounded list
-    chosen = usable.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= sample).select("doc_id", "lang")
-    rows = usable.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").collect()
-    texts: dict[str, list[str]] = {}
-    for row in sorted(rows):
-        texts.setdefault(row["lang"], []).append(row["text"])
-    return texts
+    chosen = usable.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= sample)
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min(F.col("place") % 2).alias("half"))
+    return written(usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "half", "text"), "language-sample")
+
+
+#: For each language and half of its sample: different grams and how often they come.
+Counts = dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]
+
+
+def count_sample(sample: DataFrame) -> Counts:
+    """The grams of the sample; as many rows come to the driver as it has different ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, half in set(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True)):
+                mine = batch.filter(pc.and_(pc.equal(batch.column("lang"), lang), pc.equal(batch.column("half"), half)))
+                for _, data, offsets in text_chunks(mine, "text", CHUNK_BYTES):
+                    gram, n = np.unique(grams(data, offsets), return_counts=True)
+                    columns = [pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), half, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "half", "gram", "n"])
+
+    rows = sample.mapInArrow(count, "lang string, half int, gram long, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")).toArrow()
+    out: Counts = {lang: {} for lang in sorted(r["lang"] for r in sample.select("lang").distinct().collect())}
+    for lang in out:
+        own = rows.filter(pc.equal(rows.column("lang"), lang))
+        for half in (0, 1):
+            part = own.filter(pc.equal(own.column("half"), half))
+            if part.num_rows:
+                gram = part.column("gram").to_numpy().astype(np.uint32)
+                order = np.argsort(gram)
+                out[lang][half] = gram[order], part.column("n").to_numpy()[order]
+    return out
+
+
+def tree_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
+    if not parts:
+        return ContextTree.of_counts(np.empty(0, np.uint32), np.empty(0, np.int64))
+    gram, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return ContextTree.of_counts(gram, np.bincount(where.ravel(), weights=np.concatenate([n for _, n in parts]), minlength=len(gram)).astype(np.int64))
 
 
 def score_languages(trees: dict[str, ContextTree], batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +200,8 @@ def score_languages(trees: dict[str, ContextTree], batches: Iterator[pa.RecordBa
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte of every row of ``docs``."""
-    trees = {lang: ContextTree.learn(texts) for lang, texts in training_sample(docs, sample).items()}
-    frozen = docs.sparkSession.sparkContext.broadcast(trees)
+    counts = count_sample(training_sample(docs, sample))
+    frozen = docs.sparkSession.sparkContext.broadcast({lang: tree_of(list(halves.values())) for lang, halves in counts.items()})
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(
@@ -175,25 +216,20 @@ def own_bits(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return np.add.reduceat(tree.code_lengths(wanted)[where], offsets[:-1]) / np.diff(offsets)
 
 
-def _mark(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-
-
-def count_bits(docs: DataFrame, trees: dict[str, ContextTree], sample: dict[str, list[str]]) -> dict[str, list[tuple[int, int, int]]]:
-    """For each language the (log2 of bytes, step of bits a byte, rows) of all labelled texts with a letter that no tree was learned from."""
-    frozen = docs.sparkSession.sparkContext.broadcast((trees, {_mark(t) for texts in sample.values() for t in texts}))
+def count_bits(rows: DataFrame, trees: dict[tuple[str, int], ContextTree]) -> dict[str, list[tuple[int, int, int]]]:
+    """For each language the (log2 of bytes, step of bits a byte, rows) of texts (lang, half, text) under the tree of language and half."""
+    frozen = rows.sparkSession.sparkContext.broadcast(trees)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, learned = frozen.value
+        trees = frozen.value
         sums: Counter = Counter()
         for batch in batches:
-            for lang in batch.column("lang").unique().to_pylist():
-                if lang not in trees:
+            for lang, half in set(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True)):
+                if (lang, half) not in trees:
                     continue
-                rows = batch.filter(pc.equal(batch.column("lang"), lang))
-                rows = rows.filter(pa.array([_mark(t) not in learned for t in rows.column("text").to_pylist()], pa.bool_()))
-                for _, data, offsets in text_chunks(rows, "text", CHUNK_BYTES):
-                    steps = np.round(own_bits(trees[lang], data, offsets) / STEP).astype(np.int64).tolist()
+                mine = batch.filter(pc.and_(pc.equal(batch.column("lang"), lang), pc.equal(batch.column("half"), half)))
+                for _, data, offsets in text_chunks(mine, "text", CHUNK_BYTES):
+                    steps = np.round(own_bits(trees[lang, half], data, offsets) / STEP).astype(np.int64).tolist()
                     sizes = np.round(np.log2(np.diff(offsets))).astype(np.int64).tolist()
                     sums.update(zip([lang] * len(steps), sizes, steps, strict=True))
         keys = list(sums)
@@ -202,37 +238,32 @@ def count_bits(docs: DataFrame, trees: dict[str, ContextTree], sample: dict[str,
             ["lang", "size", "step", "n"],
         )
 
-    usable = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counted = usable.mapInArrow(count, "lang string, size long, step long, n long").groupBy("lang", "size", "step").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "lang string, size long, step long, n long").groupBy("lang", "size", "step").agg(F.sum("n").alias("n"))
     out: dict[str, list[tuple[int, int, int]]] = {}
     for row in counted.collect():
         out.setdefault(row["lang"], []).append((row["size"], row["step"], row["n"]))
     return out
 
 
-def _crossed(texts: list[str]) -> list[tuple[int, int, int]]:
-    """What ``count_bits`` gives, for the sample itself: each half under the tree of the other, or under its own where there is one text."""
-    out = []
-    for half in (0, 1):
-        tested = [t for t in texts[half::2] if t]
-        if tested:
-            data, offsets = strings(pa.array(tested, pa.string()))
-            bits = own_bits(ContextTree.learn(texts[1 - half :: 2] or texts), data, offsets)
-            out += [(round(np.log2(n)), round(b / STEP), 1) for n, b in zip(np.diff(offsets).tolist(), bits.tolist(), strict=True)]
-    return out
-
-
-def fit_bounds(docs: DataFrame, trees: dict[str, ContextTree], sample: dict[str, list[str]]) -> dict[str, tuple[float, float]]:
+def fit_bounds(docs: DataFrame, sample: DataFrame, counts: Counts) -> dict[str, tuple[float, float]]:
     """For each learned language the median of the bits a byte of its texts, and the spread of one byte."""
-    counted, out = count_bits(docs, trees, sample), {}
-    for lang, texts in sample.items():
-        rows = counted.get(lang, [])
-        if sum(n for _, _, n in rows) < FEW:
-            rows = rows + _crossed(texts)
-        if not rows:
+    learned = sample.select(F.xxhash64("text").alias("mark")).distinct()
+    others = docs.select(F.col("lang").cast("string").alias("lang"), F.lit(0).alias("half"), "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # at most SAMPLE marks a language
+    others = others.withColumn("mark", F.xxhash64("text")).join(F.broadcast(learned), "mark", "left_anti").select("lang", "half", "text")
+    counted = count_bits(others, {(lang, 0): tree_of(list(halves.values())) for lang, halves in counts.items()})
+    few = [lang for lang in counts if sum(n for _, _, n in counted.get(lang, [])) < FEW]
+    if few:
+        # each half under the tree of the other, or under its own where there is no other
+        trees = {(lang, half): tree_of([counts[lang].get(1 - half) or counts[lang][half]]) for lang in few for half in counts[lang]}
+        for lang, rows in count_bits(sample.filter("text <> ''"), trees).items():
+            counted.setdefault(lang, []).extend(rows)
+    out = {}
+    for lang in counts:
+        if not counted.get(lang):
             out[lang] = (8.0, 0.0)  # only empty texts are labelled so: nothing says what fits
             continue
-        size, step, n = np.array(rows, np.int64).T
+        size, step, n = np.array(counted[lang], np.int64).T
         middle = _weighted_median(step * STEP, n)
         out[lang] = middle, 1.4826 * _weighted_median(np.abs(step * STEP - middle) * np.exp2(size / 2), n)
     return out
@@ -247,8 +278,9 @@ def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
 def keep_identified(docs: DataFrame, least_score: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` in a language that was learned; their columns stay as they are."""
     learned = training_sample(docs, sample)
-    trees = {lang: ContextTree.learn(texts) for lang, texts in learned.items()}
-    frozen = docs.sparkSession.sparkContext.broadcast((trees, fit_bounds(docs, trees, learned) if trees else {}))
+    counts = count_sample(learned)
+    trees = {lang: tree_of(list(halves.values())) for lang, halves in counts.items()}
+    frozen = docs.sparkSession.sparkContext.broadcast((trees, fit_bounds(docs, learned, counts) if trees else {}))
     columns = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -228,6 +228,16 @@ def test_code_lengths_against_plain():
     assert np.allclose(got, [brute.ppm_bits([t.encode() for t in learned], t.encode()) for t in texts])
 
 
+def test_language_of_empty_texts_only(spark):
+    """A language that only an empty text has, beside one with texts; and alone."""
+    rows = [(1, "", "xx", "s", 1), (3, "", "xx", "s", 1), (4, "the house of the people", "en", "s", 1), (5, "the people of the house", "en", "s", 1), (8, "the water", None, "s", 1)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(fx.documents(spark, rows)).collect()}
+    assert (got[8], got[1]) == ("en", "und")
+    kept = {r.doc_id for r in language_id.keep_identified(fx.documents(spark, rows)).collect()}
+    assert {4, 5} <= kept and not kept & {1, 3}
+    assert language_id.identify(fx.documents(spark, rows[:2] + rows[4:])).count() == 3
+
+
 def test_held_out_languages(spark):
     """On documents that nothing was learned from."""
     path = "/root/testdata/sf0.01/documents.parquet"
