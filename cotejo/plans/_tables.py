@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts cost time to read: one with fewer splits than there are cores is dealt out to all of them.
+
+    Such a table is small. A larger one is left where it lies, and nothing is shuffled.
+    """
+    found, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+
+
 def everyone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as a problem: region / nation / customer."""
     nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))

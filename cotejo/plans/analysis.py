@@ -9,7 +9,7 @@ from cotejo.functions.bands import gauge_offset, is_significant, risk_band, sema
 from cotejo.functions.style import runs_of, style_features, style_weight, synthetic_probability
 from cotejo.functions.vectors import cosine, edit_similarity, fused, fused_cosine
 from cotejo.operators import evaluate, learned, library, report, similarity
-from cotejo.plans._tables import everyone, table
+from cotejo.plans._tables import everyone, table, texts
 from cotejo.plans.texts import _PROBABILITY
 from cotejo.streaming.ingest import sessions
 
@@ -60,7 +60,7 @@ def benchmark_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-set similarity of all documents with all benchmark items."""
-    return similarity.shared_tokens(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return similarity.shared_tokens(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 def edit_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +77,12 @@ def learned_style(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many winnowed fingerprints documents share with benchmark items, from 20 on."""
     items = similarity.fingerprints(table(spark, sf_dir, "benchmark"), "item_id", k=12, window=8)
-    docs = similarity.fingerprints(table(spark, sf_dir, "documents"), "doc_id", k=12, window=8)
+    docs = similarity.fingerprints(texts(spark, sf_dir, "documents"), "doc_id", k=12, window=8)
     return docs.join(items, "fingerprint").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).filter("n >= 20")
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     logic = similarity.best_reference(docs, table(spark, sf_dir, "benchmark"))
     features = style_features(F.col("text"), F.col("runs"))
     style = docs.select("doc_id", "text", runs_of(F.col("text")).alias("runs")).select("doc_id", F.coalesce(synthetic_probability(features), F.lit(0.0)).alias("probabilidad"), style_weight(F.coalesce(F.length("text"), F.lit(0))).alias("peso"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cotejo.functions import text as T
 from cotejo.functions.style import char_ngrams, runs_of, style_features, synthetic_probability
 from cotejo.operators.clones import equal_contents
-from cotejo.plans._tables import table
+from cotejo.plans._tables import table, texts
 
 
 def parse_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,31 +46,31 @@ def prompt_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages")
     return pages.select("page_id", F.sha2(F.coalesce(T.normalized_layout(F.col("html")), F.lit("")), 256).alias("layout_hash"), T.is_recoverable(F.col("html")).alias("recuperable"))
 
 
 def style_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", runs_of(F.col("text")).alias("runs"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", runs_of(F.col("text")).alias("runs"))
     features = style_features(F.col("text"), F.col("runs"))
     wanted = ("n_chars", "n_lines", "n_keywords", "n_operators", "mean_token", "share_if", "share_for", "space_indent", "tab_indent", "blank_lines", "same_line_braces", "own_line_braces", "comment_density", "camel_names", "snake_names")
     return docs.select("doc_id", *[features[n].alias(n) for n in wanted])
 
 
 def synthetic_probability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", runs_of(F.col("text")).alias("runs"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", runs_of(F.col("text")).alias("runs"))
     return docs.select("doc_id", synthetic_probability(style_features(F.col("text"), F.col("runs"))).alias("probabilidad"))
 
 
 def char_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     chars = docs.select("lang", F.explode(F.split("text", "")).alias("c")).filter("c <> ''")
     return chars.groupBy("lang", "c").agg(F.count("*").alias("n"))
 
 
 def top_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigrams of characters that stand in a tenth of a language's documents or more: pooled presence."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     grams = docs.select("lang", F.explode(F.array_distinct(char_ngrams(F.lower("text"), 3))).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("docs"))
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
