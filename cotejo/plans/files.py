@@ -14,7 +14,7 @@ from cotejo.functions.style import char_codes, style_features
 from cotejo.operators import clones, coverage, flow, library, report, similarity
 from cotejo.plans._tables import SQL, everyone, problems, references, table
 from cotejo.plans.texts import _LITERAL, _strip, _without_comments
-from cotejo.sources import corpus, sinks, statements, traces
+from cotejo.sources import corpus, relational, sinks, statements, traces
 from cotejo.sources.schemas import KEY
 from cotejo.sources.scratch import scratch_path
 
@@ -118,6 +118,25 @@ def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.join(findings, "doc_id", "left").select("doc_id", "quality", "tipo_hallazgo")
 
 
+def stored_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One teacher's reports from a relational store: regions own nations, customers hand in code, orders are reports."""
+    path = scratch_path(spark, "store")
+    code = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.col("c_nationkey").cast("int").alias("problema_id"), F.col("c_name").alias("autor_id"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("id"), F.col("o_custkey").cast("int").alias("entrega_id"), (F.col("o_custkey") + 1).cast("int").alias("referencia_id"))
+    made = {
+        "docente": table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("id"), F.col("r_name").alias("nombre")),
+        "problema": table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_regionkey").cast("int").alias("docente_id"), F.col("n_name").alias("titulo")),
+        "codigo_fuente": code,
+        "reporte_analisis": orders,
+        "indicador_integridad": orders.limit(0),
+    }
+    for name, rows in made.items():
+        missing = [f for f in relational.TABLES[name] if f.name not in rows.columns]
+        relational.write_store({name: rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})}, path)
+    found = relational.teacher_reports(relational.read_store(spark, path), 2)
+    return found.select(F.col("id").cast("long").alias("id"), "autor_entrega", "autor_referencia", "titulo", "nombre")
+
+
 def current_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors stored twice, of which the later version counts."""
     path = scratch_path(spark, "vectors")
@@ -280,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_files, problem_inventory, reference_files, accepted_uploads, limited_statements, completed_keys, stored_statements, reference_metadata, stored_coverage, stored_coverage_document,
-        stored_references, stored_reports, current_vectors, ground_truth, guilty_pairs, truth_sets, trace_activity, trace_events, retryable_errors, renamed_code, structure_table, clone_classes,
+        stored_references, stored_relations, stored_reports, current_vectors, ground_truth, guilty_pairs, truth_sets, trace_activity, trace_events, retryable_errors, renamed_code, structure_table, clone_classes,
         clone_types, data_flow, token_ngrams, char_code_table, new_references, seen_before, comparison_lists, sample_cards,
     )
 }
@@ -296,6 +315,8 @@ ORACLES = {
     "stored_coverage": SQL + "SELECT p.curso, p.carpeta, p.subcarpeta, num_archivos AS archivos_originales, count(modelo) AS referencias_ia FROM problems p LEFT JOIN refs r USING (curso, carpeta, subcarpeta) GROUP BY ALL",
     "stored_coverage_document": SQL + "SELECT curso || '/' || carpeta || '/' || subcarpeta AS problema, count(*) AS total FROM refs SEMI JOIN problems USING (curso, carpeta, subcarpeta) GROUP BY ALL",
     "stored_references": SQL + "SELECT curso, carpeta, modelo, count(*) AS n FROM refs GROUP BY ALL",
+    "stored_relations": "SELECT o_orderkey AS id, c.c_name AS autor_entrega, r.c_name AS autor_referencia, n_name AS titulo, r_name AS nombre FROM orders JOIN customer c ON o_custkey = c.c_custkey LEFT JOIN customer r ON o_custkey + 1 = r.c_custkey "
+    "JOIN nation ON c.c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = 2",
     "stored_reports": "SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 'toxico' END AS tipo_hallazgo FROM labels",
     "current_vectors": "SELECT vec_id AS id, label, round(CASE WHEN vec_id % 3 = 0 THEN embedding[1] + embedding[1] ELSE embedding[1] END::DOUBLE, 5) AS primero FROM embeddings",
     "ground_truth": _TRUTH,

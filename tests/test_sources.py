@@ -108,3 +108,32 @@ def test_sinks(spark, tmp_path):
     assert {r.id: r.embedding for r in sinks.current_vectors(spark.read.parquet(str(tmp_path / "v"))).collect()} == {"a": [9.0], "b": [2.0]}
     sinks.append_completed(problems, str(tmp_path / "done"))
     assert coverage.pending(problems, spark.read.parquet(str(tmp_path / "done"))).count() == 0
+
+
+def test_commands(spark, tmp_path, capsys):
+    """From a corpus to statements, references as files, and the coverage of them."""
+    from cotejo.__main__ import main
+
+    put(tmp_path / "src/A/Z1/P1/a.c", "int a;")
+    put(tmp_path / "src/A/Z1/P2/b.cpp", "int b;")
+    at = lambda name: str(tmp_path / name)
+    main(["statements", "--dataset-path", at("src"), "--tasks", at("tasks"), "--checkpoint", at("done")], spark)
+    asked = spark.read.parquet(at("tasks"))
+    assert asked.count() == 2
+    asked.select("task", F.lit("Enunciado: suma | Lenguaje: C").alias("answer"), F.lit(None).cast("string").alias("error")).filter("subcarpeta = 'P1'").write.parquet(at("answers"))
+    main(["statements", "--dataset-path", at("src"), "--tasks", at("tasks"), "--answers", at("answers"), "--output", at("e"), "--checkpoint", at("done")], spark)
+    assert [tuple(r)[:5] for r in statements.read_statements(spark, at("e")).collect()] == [("A", "Z1", "P1", "suma", "C")]
+    main(["statements", "--dataset-path", at("src"), "--tasks", at("again"), "--checkpoint", at("done")], spark)
+    assert [r.subcarpeta for r in spark.read.parquet(at("again")).collect()] == ["P2"]
+    main(["references", "--dataset-path", at("src"), "--enunciados", at("e"), "--models", "gpt-4o,otro", "--versions", "2", "--tasks", at("gen")], spark)
+    wanted = spark.read.parquet(at("gen"))
+    assert sorted(r.archivo for r in wanted.collect()) == ["referencia_v1_gpt-4o.c", "referencia_v2_gpt-4o.c"]
+    wanted.select("task", F.lit("```c\nint x;\n```").alias("answer"), F.lit(None).cast("string").alias("error")).distinct().write.parquet(at("code"))
+    main(["references", "--dataset-path", at("src"), "--enunciados", at("e"), "--tasks", at("gen"), "--answers", at("code"), "--output", at("refs")], spark)
+    made = spark.read.parquet(at("refs"))
+    sinks.export_reference_files(made, at("out"))
+    sinks.export_reference_files(made, at("out"))
+    assert (tmp_path / "out/A/Z1/P1/referencia_v2_gpt-4o.c").read_text() == "int x;" and len(list((tmp_path / "out/A/Z1/P1").iterdir())) == 2
+    main(["coverage", "--dataset-path", at("src"), "--output-path", at("out"), "--csv", at("c"), "--json", at("j"), "--verbose"], spark)
+    assert {(r.subcarpeta, int(r.referencias_ia)) for r in spark.read.csv(at("c"), header=True).collect()} == {("P1", 2), ("P2", 0)}
+    assert spark.read.json(at("j")).count() == 1 and "A/Z1" in capsys.readouterr().out
