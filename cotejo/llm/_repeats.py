@@ -87,7 +87,7 @@ class Shard:
 #: What a smaller document holds: item of the shard, first and last byte in it, and that document.
 Located = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 Locate = Callable[[Shard], Located]
-#: (ids, known, bytes, offsets, removed bytes) -> columns.
+#: Packed bytes, their offsets and which of them are to go -> columns.
 Finish = Callable[[np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 
 import brute
@@ -112,6 +113,22 @@ def test_more_passages_than_an_automaton_takes(monkeypatch):
     assert found[0] == found[1] and len({f[0] for f in found[0]}) > 50
 
 
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
+def test_whole_table_against_plain(spark):
+    """Every document of the test table, by each of the three operators."""
+    docs = spark.read.parquet(SF).repartition(4)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.repeated_words(texts)
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeated_bytes(texts)
+    got = minhash_dedup.near_duplicates(docs, width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_groups(texts)
+
+
 def test_no_shared_folder(spark):
     from cotejo.llm import _session
 

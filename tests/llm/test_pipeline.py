@@ -37,3 +37,20 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, None)
     assert docs.count() == 0
+
+
+def test_stages_on_hard_rows(spark):
+    """Null and repeated ids, repeated rows and null texts, given to each stage."""
+    text = fx.words(3, 80)
+    rows = [(None, text, "en", "a", 1), (None, text, "en", "a", 1), (None, None, None, None, None), (7, text, "en", "a", 1), (7, text, "en", "a", 2), (7, fx.words(4, 50), "de", "b", 1), (9, None, "en", "b", 1), (11, "token=abcdefgh1", "en", None, 1), (13, "", "en", "b", 1)]
+    rows += [(100 + k, fx.words(k, 60), ["en", "de"][k % 2], "b", 1) for k in range(30)]
+    docs = fx.documents(spark, rows, extra=True)
+    out = {name: stage(spark, docs, None).collect() for name, stage in corpus_pipeline.STAGES}
+    assert sorted((r.text for r in out["language_id"] if r.doc_id is None), key=str) in ([], [text, text])
+    assert not [r for r in out["language_id"] if r.text in (None, "")]
+    kept = sorted((str(r.doc_id), r.text or "") for r in out["near_dedup"] if r.doc_id is None or r.doc_id < 100)
+    # of rows that repeat an id each text stays once
+    assert kept == sorted([("None", text), ("None", text), ("None", ""), ("7", text), ("7", fx.words(4, 50)), ("9", ""), ("11", "token=abcdefgh1"), ("13", "")])
+    assert len(out["secret_scan"]) == len(rows) and "***************" in {r.text for r in out["secret_scan"]}
+    assert sum(len((r.text or "").split()) for r in out["mix_sources"]) > 0
+    assert sorted({(str(r.doc_id), r.piece) for r in out["pack"]}) == sorted({(str(r[0]), 0) for r in rows}) and len(out["pack"]) == len(rows)
