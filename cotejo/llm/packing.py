@@ -426,7 +426,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     runs = spark.sparkContext.broadcast(layout(complete_bins(counts, capacity, budget)))
     dealt = spark.createDataFrame([(r["length"], r["n"] // BUCKET_ROWS + 1) for r in histogram], "length long, salts long")
     salted = pieces.join(F.broadcast(dealt), "length").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))
+        "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
     )
     by_salt = Window.partitionBy("length", "block").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     by_block = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -434,7 +434,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     blocks = buckets.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", F.coalesce(F.sum("n").over(by_block), F.lit(0)).alias("before_block"))
     before = buckets.withColumn("before_salt", F.coalesce(F.sum("n").over(by_salt), F.lit(0))).join(blocks, ["length", "block"])
     before = written(before.select("length", "salt", (F.col("before_block") + F.col("before_salt")).alias("before")), "pack-ranks")
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("nth", nth).join(before, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
