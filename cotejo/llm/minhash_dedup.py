@@ -416,6 +416,12 @@ def between(first: np.ndarray, end: np.ndarray, at_once: int) -> Iterator[tuple[
         lo = hi
 
 
+def links_in_open_cells(live: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame:
+    """a and b: the links between components that their members' cells still hold."""
+    members = written(open_members(live, roots, percent), "minhash-open")
+    return written(links_in_cells(members, live, width, percent), "minhash-links")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept of every row of ``docs``."""
     sets = written(set_rows(docs, width), "minhash-sets")
@@ -423,20 +429,22 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     firsts = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig")).alias("v"))
     classes = written(firsts.select("k1", "k2", "v.*"), "minhash-classes")
     live, buckets = live_rows(classes.drop("k1", "k2").dropDuplicates(["doc_id", "text_key"]), docs)
-    stars = verify(star_pairs(live, buckets, percent), live, width, percent)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # each step is a table of its own: small plans, and lost executors cost one step
+        return written(verify(written(pairs, "minhash-pairs"), live, width, percent), "minhash-links")
+
     # rows that repeat an id are one document: their classes hang together
     repeated = usable.groupBy("doc_id").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k <> l").select(F.col("doc_id").alias("a"))
     same_id = usable.select(F.col("doc_id").alias("a"), "k1", "k2").join(repeated, "a", "left_semi").join(classes.select("k1", "k2", F.col("doc_id").alias("b")), ["k1", "k2"])
-    roots = written(components(stars.unionByName(same_id.filter("a <> b").select("a", "b").distinct())), "minhash-roots")
-
-    def joined(links: DataFrame) -> DataFrame:
-        known = roots.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-        return written(components(known.unionByName(links)), "minhash-roots")
-
-    roots = joined(verify(forest_pairs(live, roots, percent), live, width, percent))
-    members = written(open_members(live, roots, percent), "minhash-open")
-    if not members.isEmpty():
-        roots = joined(links_in_cells(members, live, width, percent))
+    links = written(same_id.filter("a <> b").select("a", "b").distinct(), "minhash-same-ids")
+    if not buckets.filter("blocks > 1").isEmpty():
+        links = links.unionByName(verified(star_pairs(live, buckets, percent)))
+    roots = components(links)
+    for found in (lambda: verified(forest_pairs(live, roots, percent)), lambda: links_in_open_cells(live, roots, width, percent)):
+        links = found()
+        if not links.isEmpty():
+            roots = components(roots.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(links))
     members = sets.join(classes.select("k1", "k2", F.col("doc_id").alias("first")), ["k1", "k2"], "left")
     named = members.join(roots.select(F.col("id").alias("first"), "component_id"), "first", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first", F.col("doc_id").cast("long")))
