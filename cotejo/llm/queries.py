@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
+from cotejo.llm import decontamination, embedding_dedup, language_id, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
 from cotejo.llm._session import table
 
 
@@ -51,6 +51,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.find_contamination(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +68,7 @@ QUERIES = {
         op8_minhash_dedup,
         op9_best_fit_packing,
         op10_secret_scan,
+        op13_decontaminate,
     )
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op10_secret_scan": secrets.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op10_secret_scan": secrets.ORACLE, "op13_decontaminate": decontamination.ORACLE}
