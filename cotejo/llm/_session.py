@@ -40,6 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table of the shared folder that nothing will read again; ``df`` is what ``written`` gave."""
+    shared, jvm = shared_dir(df.sparkSession), df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        if folder.split(":", 1)[-1].lstrip("/").startswith(shared.split(":", 1)[-1].lstrip("/")):
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """``df`` as a table in the shared folder, dealt into one bucket for each shuffle partition by ``column``.
 
