@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import decontamination, embedding_dedup, language_id, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
+from cotejo.llm import decontamination, embedding_dedup, language_id, minhash_dedup, mixing, packing, prefix_trie, quality, secrets, substring_dedup, suffix_dedup, url_filter, vector_codes
 from cotejo.llm._session import table
 
 
@@ -51,6 +51,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node", "parent", "place", "end")
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find_contamination(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
@@ -68,7 +76,9 @@ QUERIES = {
         op8_minhash_dedup,
         op9_best_fit_packing,
         op10_secret_scan,
+        op11_vector_codes,
+        op12_prefix_trie,
         op13_decontaminate,
     )
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op10_secret_scan": secrets.ORACLE, "op13_decontaminate": decontamination.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op10_secret_scan": secrets.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_decontaminate": decontamination.ORACLE}
