@@ -11,8 +11,8 @@ among them, makes the incumbent. A filling is used as many times as the counts a
 the incumbent needs more sequences than the lower bound, the search backtracks
 from the end, pruning branches whose waste leaves no room for a better solution; then
 groups of sequences with waste are filled anew in the same way. The search ends at the lower bound, which proves
-the plan best, or when ``BUDGET`` fillings have been looked at, ``AT_ONCE`` of them around one
-length: packing is NP-hard, and the budget trades sequences for time. No document is ever left out.
+the plan best, or when ``budget`` fillings have been looked at, ``at_once`` of them around one
+length: packing is NP-hard, and the budget trades sequences for time; without one the search is exact. No document is ever left out.
 
 The plan is laid out as runs: the pieces of one length, in order of rank, go to
 consecutive sequences at one offset. Ranks are dealt in buckets (length, salt) of
@@ -46,6 +46,7 @@ from cotejo.llm._text import text_chunks
 BUCKET_ROWS = 1000
 #: Fillings that the solver looks at, in all and around one length.
 BUDGET, AT_ONCE = 20_000, 400
+NO_LIMIT = 1 << 60
 #: Pieces of words whose ids a worker keeps for the next chunk.
 KEPT_PIECES = 150_000
 CHUNK_BYTES = 2 << 20
@@ -240,10 +241,11 @@ def _dominated(filling: list[int], waste: int, free: int) -> bool:
 def fillings(room: int, counts: np.ndarray, budget: list[int], enough: int = -1) -> list[tuple[int, list[int]]]:
     """(waste, members) of the undominated fillings of ``room``; ``counts`` are what is left.
 
-    Members are tried from the largest that fits downwards. A smaller one than that is only tried
-    where another fits behind it, for as the last member it would be dominated.
+    Members are tried from the largest that fits downwards, each as often as it fits and then less often. A
+    smaller one than the largest that fits is only tried where another fits behind it, for as the last member it would be dominated.
     ``budget`` is how many fillings are looked at: larger members come first, so best fit is among them.
-    One that wastes ``enough`` or less is the last.
+    One that wastes ``enough`` or less is the last. A step takes all members of a length at once: steps
+    lie as deep as a filling has distinct lengths, which is at most the square root of twice the room.
     """
     lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1] if x]
     if not lengths:
@@ -254,32 +256,44 @@ def fillings(room: int, counts: np.ndarray, budget: list[int], enough: int = -1)
     free = sum(1 << x for x in lengths)
     found: list[tuple[int, list[int]]] = []
 
-    def search(room: int, at: int, chosen: list[int]) -> None:
+    def search(room: int, at: int, chosen: list[int], skipped: bool) -> bool:
+        """``skipped``: a larger one than those from ``at`` on would fit. Returns whether the filling without waste that ends the branch was found."""
         nonlocal free
         first = max(at, place[room])
         while first < len(lengths) and not left[lengths[first]]:
             first += 1
         if first == len(lengths):
+            if skipped:
+                return False
             budget[0] -= 1
             # the first leaf is best fit; behind it only what is not dominated counts
-            if not found or not _dominated(chosen, room, free):
-                found.append((room, list(chosen)))
-            return
+            if found and _dominated(chosen, room, free):
+                return False
+            found.append((room, list(chosen)))
+            return not room
         for k in range(first, len(lengths)):
             x = lengths[k]
-            if not left[x] or k > first and room - x < smallest:
+            if not left[x] or (skipped or k > first) and room - x < smallest:
                 continue
-            left[x] -= 1
-            free ^= 0 if left[x] else 1 << x
-            chosen.append(x)
-            search(room - x, k, chosen)
-            chosen.pop()
-            free |= 1 << x
-            left[x] += 1
-            if budget[0] <= 0 or found and (found[-1] == (0, chosen + [x]) or found[-1][0] <= enough):
-                return
-
-    search(room, 0, [])
+            had = left[x]
+            most = times = min(had, room // x)
+            while times:
+                left[x] = had - times
+                free = free & ~(1 << x) if times == had else free | 1 << x
+                chosen.extend([x] * times)
+                full = search(room - times * x, k + 1, chosen, times < most)
+                del chosen[len(chosen) - times :]
+                left[x] = had
+                free |= 1 << x
+                if budget[0] <= 0 or found and found[-1][0] <= enough:
+                    return False
+                # what the last of them fills alone is not filled with smaller ones
+                times -= 2 if full and room == times * x else 1
+                if times < 0:
+                    return False
+        return False
+
+    search(room, 0, [], False)
     return found
 
 
@@ -307,8 +321,11 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 Plan = list[tuple[int, list[int]]]
 
 
-def _search(counts: np.ndarray, capacity: int, spent: list[int], at_once: int, mixed: random.Random | None = None, enough: int = -1) -> Plan:
-    """The best plan that branch and bound finds until its budget of fillings is spent; the first descent is always finished."""
+def _search(counts: np.ndarray, capacity: int, spent: list[int], at_once: int, mixed: random.Random | None = None, enough: int = -1, exact: bool = False) -> Plan:
+    """The best plan that branch and bound finds until its budget of fillings is spent; the first descent is always finished.
+
+    A filling is used as often as the counts allow; if ``exact``, also less often.
+    """
     bound = lower_bound(counts, capacity)
     best: Plan = []
     best_bins = None
@@ -326,7 +343,9 @@ def _search(counts: np.ndarray, capacity: int, spent: list[int], at_once: int, m
             members = [largest, *filling]
             need = np.bincount(members, minlength=capacity + 1)
             at = np.flatnonzero(need)
-            yield int((left[at] // need[at]).min()), members
+            most = int((left[at] // need[at]).min())
+            for times in range(most, 0, -1) if exact else (most,):
+                yield times, members
 
     stack = [(counts, options(counts), 0)] if counts.any() else []
     path: Plan = []
@@ -383,15 +402,18 @@ def _improved(plan: Plan, capacity: int, bound: int, spent: list[int], at_once:
     return [(n, list(m)) for m, n in held.items()]
 
 
-def complete_bins(counts: np.ndarray, capacity: int, budget: int = BUDGET, at_once: int = AT_ONCE) -> Plan:
+def complete_bins(counts: np.ndarray, capacity: int, budget: int | None = BUDGET, at_once: int = AT_ONCE) -> Plan:
     """(how many, members) of the sequences that hold all of ``counts``, by length.
 
     No plan has fewer than ``lower_bound``. The incumbent takes the first filling without waste
     around each length. Where it ends above the bound, half of the budget goes into branch and bound
-    over all fillings, and half into filling groups of the better plan's sequences anew.
+    over all fillings, and half into filling groups of the better plan's sequences anew. Without a budget (None)
+    branch and bound goes on, over all fillings, until no plan can be better: exact, and as slow as the problem is hard.
     """
     counts = counts.astype(np.int64)
     bound = lower_bound(counts, capacity)
+    if budget is None:
+        return _search(counts, capacity, [NO_LIMIT], NO_LIMIT, exact=True)
     plan = _search(counts, capacity, [0], at_once, enough=0)
     if _sequences(plan) > bound:
         plan = min(_search(counts, capacity, [budget // 2], at_once), plan, key=_sequences)
@@ -414,8 +436,11 @@ def layout(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "offset"), columns, strict=True))
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, budget: int = BUDGET) -> DataFrame:
-    """The pieces of all documents with the sequence that each goes to and its place there."""
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, budget: int | None = BUDGET, at_once: int = AT_ONCE) -> DataFrame:
+    """The pieces of all documents with the sequence that each goes to and its place there.
+
+    ``budget`` and ``at_once`` are those of ``complete_bins``; without a budget no plan has fewer sequences.
+    """
     spark = docs.sparkSession
     pieces = written(cut_pieces(docs, tokenizer, capacity, end_id), "pack-pieces")
     # at most ``capacity`` rows, whatever the corpus
@@ -423,7 +448,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     counts = np.zeros(capacity + 1, np.int64)
     for row in histogram:
         counts[row["length"]] = row["n"]
-    runs = spark.sparkContext.broadcast(layout(complete_bins(counts, capacity, budget)))
+    runs = spark.sparkContext.broadcast(layout(complete_bins(counts, capacity, budget, at_once)))
     dealt = spark.createDataFrame([(r["length"], r["n"] // BUCKET_ROWS + 1) for r in histogram], "length long, salts long")
     salted = pieces.join(F.broadcast(dealt), "length").withColumn(
         "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))

@@ -412,3 +412,56 @@ def test_triplets(n):
     held = sum(k * np.bincount(m, minlength=2049) for k, m in plan)
     assert (held == counts).all() and all(sum(m) <= 2048 for _, m in plan)
     assert n <= sum(k for k, _ in plan) <= 1.02 * n + 1
+
+
+@pytest.mark.parametrize("lengths", [{1: 50_000, 2048: 7}, {2: 5000}, {1: 3000}, {1: 1000, 2: 1000, 3: 1000}, {1: 7, 2: 4000, 3: 2}, {1: 10**9, 2: 10**9, 3: 7}, {3: 100_000, 2047: 5000, 1: 10}])
+def test_many_tiny_lengths(lengths):
+    """Fillings of up to 2048 members; each plan is at the bound."""
+    counts = np.zeros(2049, np.int64)
+    for length, n in lengths.items():
+        counts[length] = n
+    plan = packing.complete_bins(counts, 2048)
+    assert (sum(k * np.bincount(m, minlength=2049) for k, m in plan) == counts).all() and all(sum(m) <= 2048 for _, m in plan)
+    assert sum(k for k, _ in plan) == packing.lower_bound(counts, 2048)
+
+
+def test_exact_packing():
+    """Without a budget no plan has fewer sequences than that of plain search."""
+    rng = random.Random(3)
+
+    def fewest(sizes, capacity):
+        best = [len(sizes)]
+
+        def place(k, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(sizes):
+                best[0] = len(rooms)
+                return
+            for room in {r for r in rooms if r >= sizes[k]}:
+                left = list(rooms)
+                left[left.index(room)] -= sizes[k]
+                place(k + 1, left)
+            place(k + 1, [*rooms, capacity - sizes[k]])
+
+        place(0, [])
+        return best[0]
+
+    for _ in range(150):
+        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 11))), reverse=True)
+        plan = packing.complete_bins(np.bincount(sizes, minlength=21), 20, None)
+        assert sorted((x for k, m in plan for x in m * k), reverse=True) == sizes
+        assert sum(k for k, _ in plan) == fewest(sizes, 20)
+
+
+def test_packing_of_empty_texts(spark):
+    rows = [(k, [None, "", "a"][k % 3], "en", "s", 1) for k in range(6000)] + [(9000, fx.words(1, 400), "en", "s", 1)]
+    got = packing.pack(fx.documents(spark, rows), PATH).collect()
+    assert len(got) == len(rows)
+    ends = {}
+    for r in got:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for spans in ends.values():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert len(ends) == -(-sum(r.length for r in got) // 2048)

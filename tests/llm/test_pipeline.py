@@ -9,7 +9,7 @@ import corpus_pipeline
 
 def test_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
 
@@ -54,3 +54,18 @@ def test_stages_on_hard_rows(spark):
     assert len(out["secret_scan"]) == len(rows) and "***************" in {r.text for r in out["secret_scan"]}
     assert sum(len((r.text or "").split()) for r in out["mix_sources"]) > 0
     assert sorted({(str(r.doc_id), r.piece) for r in out["pack"]}) == sorted({(str(r[0]), 0) for r in rows}) and len(out["pack"]) == len(rows)
+
+
+def test_tiny_texts(spark):
+    """Thousands of texts of a word or two in a known language: sequences of many members."""
+    rows = [(k, fx.words(k, 60), "en", "a", 1) for k in range(20)] + [(1000 + k, f"{fx.words(k, 2)}", "en", "a", 1) for k in range(3000)]
+    docs = fx.documents(spark, rows)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, None)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    got = docs.collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) > 2000 and all(sum(x[1] for x in b) <= 2048 for b in bins.values())
+    assert len(bins) == -(-sum(r.length for r in got) // 2048)
