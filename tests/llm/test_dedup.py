@@ -261,3 +261,14 @@ def test_embeddings_of_hard_rows(spark):
     assert linked.pop(1) == (1, 1, True) and linked.pop(2) == (1, 1, False) and linked.pop(None) == (0, None, True)
     assert all(v == (0, k, True) for k, v in linked.items())
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_embeddings_of_extreme_size(spark):
+    """Norms whose squares under- or overflow, alone and beside others: cosines are those of the directions."""
+    tiny, huge = 1e-170, 1e170
+    rows = [(0, [tiny] * 8, 1), (1, [1.0] * 8, 1), (2, [huge] * 8, 1), (3, [5e-324] * 8, 1), (4, [1e308] * 4 + [-1e308] * 4, 1), (5, [1.0] * 4 + [-1.0] * 4, 1), (6, [1e300] + [1e-300] * 7, 2), (7, [3.0] + [0.0] * 7, 2)]
+    schema = "vec_id long, embedding array<double>, label int"
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+    alone = embedding_dedup.near_duplicates(spark.createDataFrame(rows[:1], schema)).collect()
+    assert [(r.n_links, r.kept) for r in alone] == [(0, True)]
