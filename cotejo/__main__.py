@@ -7,13 +7,14 @@ Text models are not called here: a first run writes a table of tasks (task, prom
 from __future__ import annotations
 
 import argparse
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.operators import coverage, tasks
-from cotejo.sources import corpus, sinks, statements
+from cotejo.sources import corpus, sinks, statements, tree
 from cotejo.sources.schemas import KEY
 
 
@@ -50,7 +51,7 @@ def _answered(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def _coverage(spark: SparkSession, args: argparse.Namespace) -> None:
-    problems = corpus.problem_inventory(corpus.scan_files(spark, args.dataset_path))
+    problems = tree.problems_in(tree.read_tree(spark, args.dataset_path, content=False))
     references = corpus.scan_references(spark, args.output_path)
     coverage.totals(problems, references).show()
     coverage.by_group(problems, references).orderBy("grupo").show(1000, truncate=False)
@@ -70,8 +71,8 @@ def _statements(spark: SparkSession, args: argparse.Namespace) -> None:
         if args.checkpoint:
             sinks.append_completed(done, args.checkpoint)
         return
-    files = corpus.scan_files(spark, args.dataset_path)
-    problems = corpus.problem_inventory(files)
+    found = tree.read_tree(spark, args.dataset_path)
+    files, problems = tree.files_in(found), tree.problems_in(found.drop("contenido"))
     if args.checkpoint and not args.force:
         problems = problems.join(statements.read_checkpoint(spark, args.checkpoint).distinct(), KEY, "left_anti")
     tasks.inference_tasks(problems, files, args.num_samples).write.parquet(args.tasks)
@@ -81,11 +82,16 @@ def _references(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.answers:
         sinks.append_references(tasks.references_of(_answered(spark, args)), args.output)
         return
-    files = corpus.scan_files(spark, args.dataset_path)
+    found = tree.read_tree(spark, args.dataset_path)
     wanted = statements.limited(statements.last_wins(statements.read_statements(spark, args.enunciados), KEY), args.limit)
     names = [m.strip() for m in (args.models or args.model).split(",") if m.strip()]
-    known, _ = tasks.known_models(spark.createDataFrame([(n,) for n in names], "nombre string"), statements.model_catalogue(spark))
-    originals = tasks.seeded_choice(files).select(*KEY, "contenido")
+    known, unknown = tasks.known_models(spark.createDataFrame([(n,) for n in names], "nombre string"), statements.model_catalogue(spark))
+    for row in unknown.collect():  # names of the command line
+        print(f"model {row.nombre} is unknown and passed over", file=sys.stderr)
+    skipped = tasks.skip_reasons(wanted, tree.problems_in(found), spark.createDataFrame([], ", ".join(f"{c} string" for c in KEY))).filter("skip_reason is not null")
+    for row in skipped.groupBy("skip_reason").count().orderBy("skip_reason").collect():
+        print(f"{row['count']} statements passed over: {row.skip_reason}", file=sys.stderr)
+    originals = tasks.seeded_choice(tree.files_in(found)).select(*KEY, "contenido")
     tasks.generation_tasks(wanted.select(*KEY, "enunciado"), originals, known.select("nombre"), args.versions).write.parquet(args.tasks)
 
 

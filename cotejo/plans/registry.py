@@ -1,6 +1,7 @@
 """All queries of the library by name, and their SQL for comparison."""
 
-from cotejo.plans import analysis, coverage, files, texts
+from cotejo.plans import analysis, coverage, files, stores, texts
 
-QUERIES: dict = coverage.QUERIES | texts.QUERIES | analysis.QUERIES | files.QUERIES
-ORACLES: dict = coverage.ORACLES | texts.ORACLES | analysis.ORACLES | files.ORACLES
+_MODULES = (coverage, texts, analysis, files, stores)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

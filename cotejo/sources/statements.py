@@ -30,9 +30,18 @@ def model_catalogue(spark: SparkSession) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """STATEMENT rows of a CSV with a header, and ``pos``, their order in it."""
-    read = spark.read.csv(path, schema=STATEMENT, header=True, multiLine=True, quote='"', escape='"')
-    return read.withColumn("pos", F.monotonically_increasing_id())
+    """STATEMENT rows of a CSV with a header, of a folder of such or of a store, and ``pos``, their order.
+
+    In a store that ``append_statements`` writes, batches stand in the order of their numbers, the files of a batch in that of
+    their names. Other files come before them, in the order in which they were modified. However large files
+    are and in whatever order Spark reads them, ``pos`` sorts rows as they were written: a file is read by one task.
+    """
+    read = spark.read.option("recursiveFileLookup", True).csv(path, schema=STATEMENT, header=True, multiLine=True, quote='"', escape='"')
+    file = F.col("_metadata.file_path")
+    batch = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(file, r"/lote=(\d{9,})/[^/]*$", 1), F.lit("")), F.lit("999999999999")).cast("long"), F.lit(-1).cast("long"))
+    changed = F.when(batch < 0, F.unix_micros("_metadata.file_modification_time")).otherwise(0)
+    pos = F.struct(batch.alias("lote"), changed.alias("cambio"), file.alias("archivo"), F.monotonically_increasing_id().alias("n"))
+    return read.select(*STATEMENT.fieldNames(), pos.alias("pos"))
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:

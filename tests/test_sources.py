@@ -1,11 +1,12 @@
 """Readers and writers on files of their own shape."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from cotejo.operators import coverage, tasks
-from cotejo.sources import corpus, sinks, statements, traces
+from cotejo.sources import corpus, sinks, statements, traces, tree
 from cotejo.sources.schemas import KEY
 
 
@@ -137,3 +138,65 @@ def test_commands(spark, tmp_path, capsys):
     main(["coverage", "--dataset-path", at("src"), "--output-path", at("out"), "--csv", at("c"), "--json", at("j"), "--verbose"], spark)
     assert {(r.subcarpeta, int(r.referencias_ia)) for r in spark.read.csv(at("c"), header=True).collect()} == {("P1", 2), ("P2", 0)}
     assert spark.read.json(at("j")).count() == 1 and "A/Z1" in capsys.readouterr().out
+
+
+def test_tree(spark, tmp_path):
+    """Empty problems, text files only, stray files, names that Spark's readers pass over, and no tree at all."""
+    root = tmp_path / "src"
+    put(root / "A/Z1/P1/a.c", b"int a\xff;")
+    put(root / "A/Z1/P1/.hidden.cpp", "int h;")
+    put(root / "A/Z1/P2/only.txt", "x")
+    put(root / "A/Z1/stray.c", "x")
+    put(root / "A/_Z2/P1/deep/er.c", "x")
+    put(root / "B.c", "x")
+    put(root / "C/Z1/P1/UP.C", "x")
+    (root / "A/Z3/empty").mkdir(parents=True)
+    (root / "D").mkdir()
+    for ranges in (1, 5):
+        found = tree.read_tree(spark, str(root), ranges=ranges)
+        assert {tuple(r) for r in tree.problems_in(found).collect()} == {("A", "Z1", "P1", 2), ("A", "Z1", "P2", 0), ("A", "_Z2", "P1", 0), ("A", "Z3", "empty", 0), ("C", "Z1", "P1", 0)}
+        assert {(r.archivo, r.ext, r.contenido, r.bytes) for r in tree.files_in(found).collect()} == {("a.c", "c", "int a;", 7), (".hidden.cpp", "cpp", "int h;", 6)}
+    assert found.rdd.getNumPartitions() == 15
+    assert tree.read_tree(spark, f"file://{root}", content=False).filter("contenido is not null").count() == 0
+    assert tree.problems_in(tree.read_tree(spark, str(tmp_path / "none"))).count() == 0
+    for k, name in enumerate(("c.c", "b.c", "a.c")):
+        put(root / "C/Z1/P2" / name, "x")
+        os.utime(root / "C/Z1/P2" / name, (1000 + k, 1000 + k))
+    newest = tree.newest_first(tree.files_in(tree.read_tree(spark, str(root))).filter("subcarpeta = 'P2' and curso = 'C'"), 2)
+    assert [(r.archivo, r.lugar) for r in newest.orderBy("lugar").collect()] == [("a.c", 1), ("b.c", 2)]
+    put(root / "C/Z1/P2/referencia_v2_gpt-4o.c", "x")
+    put(root / "C/Z1/P2/referencia_v2.c", "x")
+    assert [(r.version, r.modelo) for r in tree.references_in(tree.read_tree(spark, str(root), tree.REFERENCE_FILE)).collect()] == [(2, "gpt-4o")]
+
+
+def test_coverage_keeps_problems_without_code(spark, tmp_path, capsys):
+    from cotejo.__main__ import main
+
+    put(tmp_path / "src/A/Z1/P1/a.c", "int a;")
+    put(tmp_path / "src/A/Z1/P2/notes.txt", "x")
+    (tmp_path / "src/A/Z1/P3").mkdir()
+    main(["coverage", "--dataset-path", str(tmp_path / "src"), "--output-path", str(tmp_path / "out"), "--csv", str(tmp_path / "c"), "--verbose"], spark)
+    assert {(r.subcarpeta, int(r.archivos_originales)) for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()} == {("P1", 1), ("P2", 0), ("P3", 0)}
+    put(tmp_path / "e.csv", "curso,carpeta,subcarpeta,enunciado,lenguaje\nA,Z1,P1,u,C\nA,Z1,P3,v,C\nA,Z1,P9,w,C\n")
+    capsys.readouterr()
+    main(["references", "--dataset-path", str(tmp_path / "src"), "--enunciados", str(tmp_path / "e.csv"), "--models", "otro,gpt-4o", "--tasks", str(tmp_path / "gen")], spark)
+    said = capsys.readouterr().err
+    assert "model otro is unknown" in said and "1 statements passed over: no code" in said and "1 statements passed over: path missing" in said
+    assert spark.read.parquet(str(tmp_path / "gen")).count() == 3
+
+
+def test_appended_statements(spark, tmp_path):
+    """A small batch, then a larger one, which Spark reads first; and a file that was there before."""
+    schema = "curso string, carpeta string, subcarpeta string, enunciado string, lenguaje string"
+    at = str(tmp_path / "store")
+    put(tmp_path / "store/before.csv", "curso,carpeta,subcarpeta,enunciado,lenguaje\nA,Z,1,OLDEST,C\nA,Z,2,kept,C\n")
+    assert sinks.append_statements(spark.createDataFrame([("A", "Z", "1", "OLD", "C")], schema), at) == 0
+    large = [("A", "Z", "1", "NEW", "C")] + [("A", "Z", f"x{k}", "filler " * 50, "C") for k in range(2000)]
+    assert sinks.append_statements(spark.createDataFrame(large, schema).repartition(3), at) == 1
+    last = statements.last_wins(statements.read_statements(spark, at), KEY)
+    assert {r.subcarpeta: r.enunciado for r in last.filter("subcarpeta in ('1', '2')").collect()} == {"1": "NEW", "2": "kept"}
+    assert [r.subcarpeta for r in statements.limited(last, 2).collect()] == ["1", "2"]
+    # several batches of one key within one batch's file, in order
+    assert sinks.append_statements(spark.createDataFrame([("A", "Z", "1", f"v{k}", "C") for k in range(50)], schema).coalesce(1), at) == 2
+    again = statements.last_wins(statements.read_statements(spark, at), KEY)
+    assert again.filter("subcarpeta = '1'").first().enunciado == "v49"
