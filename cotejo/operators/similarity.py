@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cotejo.functions.style import char_ngrams, runs
 from cotejo.functions.vectors import cosine, jaccard
+from cotejo.sources.scratch import kept
 
 #: References that a kernel may hold: rows times width of the matrix, 64 MB of doubles.
 KERNEL_CELLS = 8 << 20
@@ -41,8 +42,18 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: in
     ``queries`` is the stated, small side: in blocks that fit a kernel it is sent to all tasks,
     each of which keeps its best ``k`` for each query, so that no pair is shuffled.
     """
-    found = [_best_of_block(block, vectors, k, digits) for block in _query_blocks(queries)]
-    return nearest(reduce(DataFrame.unionByName, found), k, "vec_id", "ref_id")
+    return by_blocks(queries, lambda block: nearest(_best_of_block(block, vectors, k, digits), k, "vec_id", "ref_id"))
+
+
+def by_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` for each block of queries that fits a kernel, one after another.
+
+    The driver holds one block at a time: of several, each block's result is written before the next is read.
+    """
+    blocks = _query_blocks(queries)
+    if len(blocks) == 1:
+        return run(blocks[0])
+    return reduce(DataFrame.unionByName, [kept(run(block), "query-block") for block in blocks])
 
 
 def _query_blocks(queries: DataFrame) -> list[DataFrame]:
@@ -123,7 +134,7 @@ def mean_distances(queries: DataFrame, vectors: DataFrame, digits: int = 5) -> D
 
     local = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     label_type = to_arrow_type(vectors.schema["label"].dataType)
-    summed = reduce(DataFrame.unionByName, [sums(block) for block in _query_blocks(queries)]).groupBy("vec_id", "label").agg(*[F.sum(c).alias(c) for c in "cngm"])
+    summed = by_blocks(queries, sums).groupBy("vec_id", "label").agg(*[F.sum(c).alias(c) for c in "cngm"])
     mean = lambda a, b: F.round(F.try_divide(a, b), digits)
     return summed.filter("m > 0").select("vec_id", "label", mean(F.col("c"), F.col("n")).alias("coseno"), mean(F.col("g"), F.col("m")).alias("distancia"))
 
@@ -168,6 +179,14 @@ def _unit(column: pa.Array) -> np.ndarray:
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def unit_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, rows and unit vectors of each length that a list column holds; a vector without a direction becomes NaN."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths[lengths > 0]):
+        row = np.flatnonzero(lengths == dim)
+        yield int(dim), row, _unit(column.take(pa.array(row)))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
