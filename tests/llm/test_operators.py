@@ -60,26 +60,52 @@ def test_quality_base(spark, extra):
     assert len(got) == len(texts) and quality.judge(fx.documents(spark, [])).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    codes, counts = np.unique(rng.integers(0, 32**4, 3000), return_counts=True)
-    p = np.exp(quality.KneserNey(codes, counts).table().astype(float)).reshape(-1, 32).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-3)
+def packed(gram):
+    return sum(ord(c) << 16 * (3 - k) for k, c in enumerate(gram))
 
 
-def test_kneser_ney_against_plain():
-    """Seen and unseen n-grams of one model, looked up in the sorted arrays and counted by dictionaries."""
+def costs_of(spark, counts):
+    """cost of each (lang, gram) in natural logs, from {(lang, gram): n}."""
+    rows = [(lang, packed(g) - (1 << 64 if packed(g) >> 63 else 0), n) for (lang, g), n in counts.items()]
+    found = quality.model_of(spark.createDataFrame(rows, "lang string, gram long, n long").repartition(3)).collect()
+    return {(r.lang, r.gram % (1 << 64)): r.cost / quality.UNIT for r in found}
+
+
+def test_kneser_ney_against_plain(spark):
+    """Models made by joins, and counted by dictionaries: usual counts, and counts that are all alike, also beyond half of all code points."""
     rng = random.Random(4)
     counts: dict = {}
-    for _ in range(1500):
-        gram = tuple(rng.choice("aabbbcdé ж") for _ in range(4))
-        counts[gram] = counts.get(gram, 0) + 1
-    code = lambda g: sum(ord(c) << 16 * (3 - k) for k, c in enumerate(g))
-    model = quality.KneserNey(np.array([code(g) for g in counts], np.uint64), np.array(list(counts.values())), bits=16)
-    asked = list(counts)[:200] + [tuple(rng.choice("abcdé жxy") for _ in range(4)) for _ in range(300)]
-    got = model.log_probability(np.array([code(g) for g in asked], np.uint64), 3)
-    p = brute.kneser_ney(counts, 4, 2.0**-16)
-    assert np.allclose(got, [np.log(p(g)) for g in asked], atol=1e-9)
+    for lang, letters in (("=a", "aabbbcdé ж"), ("=b", "ab"), ("", "漢字￰x")):
+        for _ in range(700):
+            gram = tuple(rng.choice(letters) for _ in range(4))
+            counts[lang, gram] = counts.get((lang, gram), 0) + 1
+    counts |= {("=flat", tuple(x)): 1 for x in ("abcd", "efgh", "ijkl")} | {("=one", tuple("zzzz")): 5}
+    got = costs_of(spark, counts)
+    for lang in {x for x, _ in counts}:
+        p = brute.kneser_ney({g: n for (x, g), n in counts.items() if x == lang}, 4, 2.0**-16)
+        assert np.allclose([got[x, packed(g)] for x, g in counts if x == lang], [-np.log(p(g)) for x, g in counts if x == lang], atol=1e-6)
+    assert len(got) == len(counts)
+
+
+@pytest.mark.parametrize("most", [0, 60, 3000])
+def test_verdicts_do_not_depend_on_memory(spark, most):
+    """With none, few or many n-grams held by tasks, all results are those of holding all."""
+    rng = random.Random(8)
+    rows = [(k, t, lang, "s", 1) for k, t, lang, *_ in fx.corpus()] + [(7000 + k, "".join(rng.choice("漢字語文書") for _ in range(60)), "zh", "s", 1) for k in range(5)]
+    rows += [(8000 + k, fx.words(k, 40), f"l{k}", "s", 1) for k in range(60)] + [(0, "a repeated id", "en", "s", 1), (None, fx.words(3, 50), None, "s", 1)]
+    docs = fx.documents(spark, rows)
+    plain = lambda found: sorted(str(tuple(r)) for r in found.collect())
+    assert plain(quality.judge(docs, most=most)) == plain(quality.judge(docs))
+
+
+def test_held_grams_are_the_most_frequent(spark):
+    model = spark.createDataFrame([("=a", -g if g % 2 else g, 1 + g % 4, 10 * g) for g in range(1, 41)] + [("", 7, 1, 70)], "lang string, gram long, n long, cost long")
+    held, whole = quality.held_of(model, 25)
+    assert not whole and {k: len(v[0]) for k, v in held.items()} == {"=a": 20}
+    assert (np.diff(held["=a"][0].astype(object)) > 0).all() and all(cost == 10 * abs(int(np.int64(np.uint64(g)))) for g, cost in zip(*held["=a"], strict=True))
+    held, whole = quality.held_of(model, 41)
+    assert whole and sum(len(v[0]) for v in held.values()) == 41
+    assert quality.held_of(model.limit(0)) == ({}, True)
 
 
 def test_perplexity_bands_against_plain(spark):
@@ -122,13 +148,6 @@ def test_quality_rejects_gibberish_in_cyrillic(spark):
     assert got[99] is False and sum(got.values()) >= 55
 
 
-def test_models_are_bounded(spark):
-    counts = spark.createDataFrame([("a", g, 1 + g % 4) for g in range(40)] + [(None, 7, 1)], "lang string, gram long, n long")
-    got = quality.bounded(counts, 50).collect()
-    assert sorted(r.n for r in got if r.lang == "a") == [3] * 10 + [4] * 10 and sum(r.lang is None for r in got) == 1
-    assert quality.bounded(counts, 100).count() == 41
-
-
 def test_code_points():
     text = "aB é Жя 漢字 😀\tz"
     data = np.frombuffer((text + "x").encode(), np.uint8)
