@@ -31,8 +31,8 @@ from cotejo.llm._text import U64, row_ranges, strings
 
 #: Bytes of text in a block, unless one text alone is longer, and bytes parsed at once.
 BLOCK_BYTES, PARSE_BYTES = 4 << 20, 256 << 10
-#: Shards for each shuffle partition.
-SHARDS = 2
+#: Shards for each shuffle partition at least, and the bytes of text behind one at most.
+SHARDS, SHARD_BYTES = 2, 64 << 20
 CODEC = pa.Codec("zstd", compression_level=3)
 
 
@@ -148,6 +148,11 @@ def packed_blocks(docs: DataFrame, units: Units) -> DataFrame:
     return blocks.select(F.monotonically_increasing_id().alias("block"), "n", "text", "meta")
 
 
+def shards_for(blocks: int, partitions: int) -> int:
+    """How many shards the blocks' keys and phrases are dealt into: what meets in one does not grow with the corpus."""
+    return max(SHARDS * partitions, -(-blocks * BLOCK_BYTES // SHARD_BYTES))
+
+
 class Block:
     """One row of the block table and its parse."""
 
@@ -289,8 +294,8 @@ def dedup(docs: DataFrame, units: Units, locate: Locate, finish: Finish, result:
     Rows with a null doc_id neither hold nor lose anything; rows with the same id
     do not take from each other.
     """
-    shards = SHARDS * partitions(docs.sparkSession)
     blocks = bucketed(packed_blocks(docs, units), "repeats-blocks", "block")
+    shards = shards_for(blocks.count(), partitions(docs.sparkSession))
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple[int, Block, dict]]:
         for row in batch.to_pylist():
