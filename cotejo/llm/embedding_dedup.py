@@ -3,8 +3,8 @@
 Equal vectors of a label are one vector with a weight, known by its least id, so copies are
 neither probed for nor compared. A rotation is learned on a bounded sample so that the signs of the rotated
 coordinates make balanced codes that stray little from them (ITQ). The code is cut into
-tables of ``TABLE_BITS`` bits, or more where the largest label has more than 2**16 different vectors, so that chance
-meetings grow no faster than the rows. Vectors meet in a bucket of a table: every vector is at
+tables of ``TABLE_BITS`` bits, or more where the largest label has more than 2**16 different vectors and the wider tables'
+probes cost less than the chance meetings that they save, as counted on the sample. Vectors meet in a bucket of a table: every vector is at
 *home* under its own bits, and *probes* the keys that a linked vector could have.
 
 Which keys these are follows from the coordinates, so no link is lost. Linked unit
@@ -45,8 +45,10 @@ from cotejo.llm._text import mix
 
 THRESHOLD = 0.98
 SAMPLE = 4096
-#: Bits of a code, and least and most bits of a table.
-CODE_BITS, TABLE_BITS, MOST_TABLE_BITS = 64, 16, 32
+#: Most bits of a code, which has as many as vectors are long, and least and most bits of a table.
+CODE_BITS, TABLE_BITS, MOST_TABLE_BITS = 1024, 16, 32
+#: Vectors of the sample whose probes are counted to choose table bits, and comparisons that cost as much as one row of a probe.
+MEASURED, ROW_COST = 32, 20
 #: Rows of a bucket that are compared with each other in one cell.
 BLOCK = 2048
 #: Units of a rotated coordinate, of a normalised component and of the rotation.
@@ -76,12 +78,13 @@ def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 50) -> tuple[np
 class Codes:
     """Integer coordinates of vectors of one length, cut into tables."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, table_bits: int = TABLE_BITS):
+    def __init__(self, sample: np.ndarray, threshold: float, table_bits: int = TABLE_BITS, learned: tuple[np.ndarray, np.ndarray] | None = None):
         dim = sample.shape[1]
+        # the longer the code, the more tables there are, and the less far off each has to be probed
         self.bits = min(CODE_BITS, dim)
         self.tables = -(-self.bits // table_bits)
         self.edges = np.linspace(0, self.bits, self.tables + 1).astype(int)
-        mean, turn = learn_rotation(sample, self.bits)
+        mean, turn = learned or learn_rotation(sample, self.bits)
         self.turn = np.rint(turn * TURN)
         self.mean = np.rint(mean * COMPONENT)
         # with room for the rounding of the rotation
@@ -212,13 +215,37 @@ def weighed(vectors: DataFrame) -> DataFrame:
 
 
 def table_bits(rows: int) -> int:
-    """Bits of a table for a label of so many vectors: a key for each."""
+    """Most bits of a table for a label of so many vectors: a key for each."""
     return min(MOST_TABLE_BITS, max(TABLE_BITS, (rows - 1).bit_length()))
 
 
+def fitting_codes(sample: np.ndarray, threshold: float, rows: int) -> Codes:
+    """Codes whose tables cost a label of so many vectors least.
+
+    Wider tables bring fewer vectors together by chance, but have to be probed at more places: a probe is a row that is sent, and a
+    vector met there a comparison. Probes are counted on some vectors of the sample, from narrow tables to wide ones, as long as it pays.
+    """
+    best = Codes(sample, threshold, TABLE_BITS, learned := learn_rotation(sample, min(CODE_BITS, sample.shape[1])))
+    if table_bits(rows) == TABLE_BITS or not len(sample):
+        return best
+
+    def cost(codes: Codes) -> float:
+        at = codes.coordinates(sample[:MEASURED])
+        probes = sum(len(codes.probes(at, t)[0]) for t in range(codes.tables)) / len(at)
+        return (codes.tables + probes) * (ROW_COST + rows / 2 ** (codes.bits / codes.tables))
+
+    least = cost(best)
+    for tables in range(best.tables - 1, -(-best.bits // table_bits(rows)) - 1, -1):
+        codes = Codes(sample, threshold, -(-best.bits // tables), learned)
+        if (now := cost(codes)) >= least:
+            break
+        best, least = codes, now
+    return best
+
+
 def learn_codes(vectors: DataFrame, threshold: float, sample: int = SAMPLE) -> dict[int, Codes]:
     """Codes for each length of vectors; learned on the ``sample`` vectors whose ids hash lowest."""
-    bits = table_bits(vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1)
+    rows = vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     lengths = [r["d"] for r in vectors.select(F.size("embedding").alias("d")).distinct().collect()]
     held = pa.RecordBatch.from_arrays([chosen.column("embedding").combine_chunks()], ["embedding"])
@@ -226,7 +253,7 @@ def learn_codes(vectors: DataFrame, threshold: float, sample: int = SAMPLE) -> d
     out = {}
     for d in sorted(lengths):
         own = samples.get(d, np.empty((0, d)))
-        out[d] = Codes(own / np.linalg.norm(own, axis=1, keepdims=True), threshold, bits)
+        out[d] = fitting_codes(own / np.linalg.norm(own, axis=1, keepdims=True), threshold, rows)
     return out
 
 

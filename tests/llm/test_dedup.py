@@ -231,7 +231,7 @@ def test_embeddings(spark, dim, n, block):
 @pytest.mark.parametrize("bits", [8, 32])
 def test_embeddings_with_other_tables(spark, monkeypatch, bits):
     """Short and long tables, and a third of the rows copies of one vector."""
-    monkeypatch.setattr(embedding_dedup, "table_bits", lambda rows: bits)
+    monkeypatch.setattr(embedding_dedup, "fitting_codes", lambda sample, threshold, rows: embedding_dedup.Codes(sample, threshold, bits))
     rows = vectors(64, 200, seed=3)
     rows += [(1000 + k, rows[5][1], rows[5][2]) for k in range(100)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS).repartition(4), block=64).collect()
@@ -272,3 +272,48 @@ def test_embeddings_of_extreme_size(spark):
     assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
     alone = embedding_dedup.near_duplicates(spark.createDataFrame(rows[:1], schema)).collect()
     assert [(r.n_links, r.kept) for r in alone] == [(0, True)]
+
+
+def test_shards_follow_the_texts():
+    """Each shard stands for a bounded share of the texts, whatever the number of partitions."""
+    for blocks in (0, 1, 100, 10_000, 10_000_000):
+        shards = _repeats.shards_for(blocks, 8)
+        assert shards >= 16 and blocks * _repeats.BLOCK_BYTES <= shards * _repeats.SHARD_BYTES and shards < 1 << 32
+
+
+def test_one_header_in_all_documents(spark, monkeypatch):
+    """A passage that every document begins with, followed by what differs, in many shards: equal to the plain versions."""
+    monkeypatch.setattr(_repeats, "SHARD_BYTES", _repeats.BLOCK_BYTES // 8)
+    header = fx.words(50, 60)
+    rows = [(k, f"{header} {fx.words(400 + k, 30 + k % 50)}", "en", "s", 1) for k in range(120)]
+    docs = fx.documents(spark, rows)
+    texts = fx.texts_by_id(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute.repeated_words(texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == brute.repeated_bytes(texts)
+
+
+@pytest.mark.parametrize("bits", [16, 24])
+def test_long_vectors(spark, monkeypatch, bits):
+    """Codes as long as the vectors, in many tables: links are those of all pairs."""
+    monkeypatch.setattr(embedding_dedup, "fitting_codes", lambda sample, threshold, rows: embedding_dedup.Codes(sample, threshold, bits))
+    rng = np.random.default_rng(bits)
+    base = rng.normal(size=(60, 160))
+    rows = [(k, (base[k % 60] + 0.05 * (k // 60) * rng.normal(size=160)).tolist(), k % 2) for k in range(240)]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert embedding_dedup.Codes(unit, 0.98, bits).tables == -(-160 // bits)
+    near = (unit @ unit.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :])
+    schema = "vec_id long, embedding array<double>, label int"
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {k: int(near[k].sum()) - 1 for k in range(len(rows))} and sum(got.values()) > 100
+
+
+@pytest.mark.parametrize(("rows", "tables", "most"), [(1 << 10, 4, 100), (1 << 16, 4, 100), (1 << 22, 3, 300), (1 << 32, 2, 2000)])
+def test_tables_grow_as_far_as_probes_pay(rows, tables, most):
+    unit = np.random.default_rng(2).normal(size=(400, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    codes = embedding_dedup.fitting_codes(unit, 0.98, rows)
+    at = codes.coordinates(unit[:100])
+    assert codes.tables == tables and sum(len(codes.probes(at, t)[0]) for t in range(codes.tables)) / 100 < most
