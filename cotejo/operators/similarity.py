@@ -20,11 +20,6 @@ from cotejo.sources.scratch import kept
 KERNEL_CELLS = 8 << 20
 
 
-def similarity_pairs(submissions: DataFrame, references: DataFrame, on: list[str], score: Column) -> DataFrame:
-    """Submissions with every reference of the same problem and ``score`` of each pair."""
-    return submissions.join(references, on).withColumn("similitud", score)
-
-
 def nearest(pairs: DataFrame, k: int, by: str, reference: str, score: str = "similitud") -> DataFrame:
     """The ``k`` best pairs of each ``by``, ties by reference id, with their place."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), reference))
@@ -45,6 +40,37 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: in
     return by_blocks(queries, lambda block: nearest(_best_of_block(block, vectors, k, digits), k, "vec_id", "ref_id"))
 
 
+def pairs_above(queries: DataFrame, vectors: DataFrame, least: float, digits: int = 6) -> DataFrame:
+    """vec_id, ref_id and similitud: all vectors of a query's label with a rounded cosine of ``least`` or more.
+
+    Queries go to the vectors in blocks, as in ``vector_search``; only pairs that are close enough become rows.
+    """
+    local = vectors.filter(F.col("label").isNotNull()).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def of_block(block: DataFrame) -> DataFrame:
+        frozen = block.sparkSession.sparkContext.broadcast(block.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).toArrow())
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = frozen.value
+            ids, labels = table.column("vec_id").to_numpy(), table.column("label").to_numpy(zero_copy_only=False)
+            asked = list(unit_rows(table.column("embedding").combine_chunks()))
+            for batch in batches:
+                other, other_label = batch.column("vec_id").to_numpy(), batch.column("label").to_numpy(zero_copy_only=False)
+                for dim, row, x in unit_rows(batch.column("embedding")):
+                    for wide, q, unit in asked:
+                        if wide != dim:
+                            continue
+                        for lo in range(0, len(q), 1024):  # so many queries at once
+                            mine = q[lo : lo + 1024]
+                            scores = np.round(unit[lo : lo + 1024] @ x.T, digits) + 0.0
+                            i, j = np.nonzero((scores >= least) & (labels[mine][:, None] == other_label[row][None, :]) & (ids[mine][:, None] != other[row][None, :]))
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[mine[i]]), pa.array(other[row[j]]), pa.array(scores[i, j])], ["vec_id", "ref_id", "similitud"])
+
+        return local.mapInArrow(close, "vec_id long, ref_id long, similitud double")
+
+    return by_blocks(queries, of_block)
+
+
 def by_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``run`` for each block of queries that fits a kernel, one after another.
 
@@ -201,18 +227,23 @@ def token_vectors(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def best_reference(submissions: DataFrame, references: DataFrame, *, key: str = "doc_id", reference: str = "item_id", digits: int = 6) -> DataFrame:
     """Every submission with its most similar reference by cosine of token counts, ties by id.
 
-    The references' count matrix is sent to all tasks where its size, which is checked, allows it; else
-    both sides are joined by token. A submission without a token of any reference has a null reference and similarity 0.
+    The references' count matrix goes to all tasks, in as many blocks of references as it takes for each to fit a kernel;
+    of several blocks each one's best are written before the next is read. A submission without a token of any reference has a null reference and similarity 0.
     """
     refs = token_vectors(references, reference).select(F.col(reference).alias("referencia"), "token", "n", "norm")
     size = refs.agg(F.count_distinct("token").alias("t"), F.count_distinct("referencia").alias("r")).first()
-    if size["t"] * max(1, size["r"]) > KERNEL_CELLS:
-        mine = token_vectors(submissions, key)
-        theirs = refs.select("referencia", "token", F.col("n").alias("m"), F.col("norm").alias("ref_norm"))
-        dots = mine.join(theirs, "token").groupBy(key, "referencia").agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.first("norm").alias("a"), F.first("ref_norm").alias("b"))
-        scored = dots.select(key, "referencia", F.round(F.col("dot") / (F.col("a") * F.col("b")), digits).alias("similitud"))
-        best = nearest(scored, 1, key, "referencia").drop("lugar")
-        return submissions.select(key).join(best, key, "left").fillna({"similitud": 0.0})
+    blocks = -(-size["t"] * max(1, size["r"]) // KERNEL_CELLS) or 1
+    if blocks == 1:
+        return _best_of_references(submissions, references, refs, key, reference, digits)
+    own = F.pmod(F.xxhash64("referencia"), F.lit(blocks))
+    found = [kept(_best_of_references(submissions, references, refs.filter(own == b), key, reference, digits).filter("referencia is not null"), "reference-block") for b in range(blocks)]
+    order = F.struct((-F.col("similitud")).alias("s"), F.col("referencia").alias("r"))
+    best = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min_by(F.struct("referencia", "similitud"), order).alias("x")).select(key, "x.*")
+    return submissions.select(key).join(best, key, "left").fillna({"similitud": 0.0})
+
+
+def _best_of_references(submissions: DataFrame, references: DataFrame, refs: DataFrame, key: str, reference: str, digits: int) -> DataFrame:
+    """The best of the references whose token counts are ``refs``, which fit a kernel."""
     frozen = submissions.sparkSession.sparkContext.broadcast(_matrix_of(refs.toArrow()))
     id_type, ref_type = submissions.schema[key].dataType.simpleString(), references.schema[reference].dataType.simpleString()
 

@@ -26,10 +26,8 @@ def top_k_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the query set and all rows of its label with a cosine of 0.3 or more."""
-    a = _queries(spark, sf_dir).select("vec_id", "label", F.col("embedding").alias("a"))
-    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), "label", F.col("embedding").alias("b"))
-    pairs = similarity.similarity_pairs(a, b, ["label"], F.round(cosine(F.col("a"), F.col("b")), 6))
-    return pairs.filter("vec_id <> ref_id and similitud >= 0.3").select("vec_id", "ref_id", "similitud", semantic_band(F.col("similitud")).alias("banda"))
+    pairs = similarity.pairs_above(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), 0.3)
+    return pairs.select("vec_id", "ref_id", "similitud", semantic_band(F.col("similitud")).alias("banda"))
 
 
 def similar_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import KEYWORDS
-from cotejo.operators import edit_join, flow, groups, regions, set_join, similarity, thresholds, trees, vector_index
+from cotejo.operators import edit_join, flow, groups, lineage, regions, set_join, similarity, thresholds, trees, vector_index
 
 
 def clustered(n, dim=16, centres=12, seed=1):
@@ -77,6 +77,26 @@ def test_blocks_of_queries(spark, monkeypatch):
     assert sorted(similarity.vector_search(rows, rows, 3).collect()) == whole and sorted(similarity.mean_distances(rows, rows).collect()) == means
 
 
+def test_pairs_above(spark):
+    rows = clustered(200) + [(900, 1, None), (901, None, [1.0] * 16), (902, 1, [0.0] * 16), (903, 1, [1.0] * 4)]
+    schema = "vec_id long, label int, embedding array<double>"
+    found = similarity.pairs_above(spark.createDataFrame(rows[::7], schema), spark.createDataFrame(rows, schema), 0.6)
+    unit = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows[:200]}
+    want = {(a[0], b[0]) for a in rows[:200:7] for b in rows[:200] if a[0] != b[0] and a[1] == b[1] and round(float(unit[a[0]] @ unit[b[0]]), 6) >= 0.6}
+    assert {(r.vec_id, r.ref_id) for r in found.collect()} == want
+
+
+def test_references_in_blocks(spark, monkeypatch):
+    """References that do not fit one kernel are looked through block by block, with the same result."""
+    rng = random.Random(3)
+    text = lambda n: " ".join("w" + "abcdefgh"[rng.randrange(8)] * rng.randint(1, 4) for _ in range(n))
+    docs = spark.createDataFrame([(k, text(12)) for k in range(60)] + [(99, None), (98, "1 2 3")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, text(8)) for k in range(30)] + [(50, None)], "item_id long, text string")
+    whole = sorted(map(str, similarity.best_reference(docs, items).select("doc_id", "referencia", "similitud").collect()))
+    monkeypatch.setattr(similarity, "KERNEL_CELLS", 200)
+    assert sorted(map(str, similarity.best_reference(docs, items).select("doc_id", "referencia", "similitud").collect())) == whole
+
+
 def texts_of_sets(seed=2):
     rng = random.Random(seed)
     name = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
@@ -335,3 +355,25 @@ def test_trees(spark):
     for a, b in itertools.combinations((0, 2, 3, 4, 5), 2):
         shared, both = sum((want[a] & want[b]).values()), sum(want[a].values()) + sum(want[b].values())
         assert apart.get((a, b)) == ((round(1 - 2 * shared / both, 6), both - 2 * shared) if shared else None)
+
+
+def test_lineage(spark):
+    """Against a replay that holds which file has which name."""
+    rng, rows, want = random.Random(5), [], {}
+    for trace in ("a", "b"):
+        holder: dict = {}
+        for seq in range(120):
+            kind = rng.choice(["created", "rename", "rename", "modified", "deleted"])
+            name, old = (rng.choice(["x.c", "y.c", "z.c", "w.c"]) for _ in range(2))
+            rows.append((trace, seq, kind, name, old if kind == "rename" and rng.random() < 0.95 else None))
+            old = rows[-1][4]
+            if kind == "created":
+                holder[name] = f"creado:{seq}"
+            elif kind == "rename":
+                holder[name] = holder.get(old, f"inicial:{old}") if old else f"inicial:{name}"
+            want[trace, seq] = holder.get(name, f"inicial:{name}")
+    rows += [("a", 500, "created_folder", None, None), ("c", 0, "rename", "n.c", "n.c"), ("c", 1, "rename", "m.c", "n.c")]
+    want |= {("c", 0): "inicial:n.c", ("c", 1): "inicial:n.c"}
+    events = spark.createDataFrame(rows, "file string, seq long, text string, filename string, old_filename string").repartition(4)
+    assert {(r.file, r.seq): r.identidad for r in lineage.file_lineage(events).collect()} == want
+    assert lineage.file_lineage(events.limit(0)).count() == 0
