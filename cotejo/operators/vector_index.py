@@ -98,8 +98,11 @@ class VectorIndex:
                 raise
         added.repartitionByRange("label", "lista").sortWithinPartitions("label", "lista").write.mode("append").parquet(f"{self.path}/listas")
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int = 8, exact: bool = False) -> DataFrame:
-        """vec_id, ref_id, similitud and lugar: the ``k`` nearest vectors of the query's label in its ``probes`` nearest lists, or of all if ``exact``."""
+    def search(self, queries: DataFrame, k: int = 5, probes: int = 8, exact: bool = True) -> DataFrame:
+        """vec_id, ref_id, similitud and lugar: the ``k`` nearest vectors of the query's label, of all if ``exact``, else of its ``probes`` nearest lists.
+
+        How many probes find enough depends on the vectors: see ``probes_for``.
+        """
         entries = self.entries()
         asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).filter("label is not null and size(embedding) > 0")
         spans = entries.groupBy("label", "lista").agg(F.min("angulo").alias("lo"), F.max("angulo").alias("hi"))
@@ -116,6 +119,18 @@ class VectorIndex:
 
         return by_blocks(asked, of_block)
 
+    def probes_for(self, queries: DataFrame, k: int = 5, share: float = 0.9) -> int:
+        """The least power of two of probes that finds ``share`` of the ``k`` nearest of ``queries`` in every label, measured against exact search."""
+        labels = queries.select("vec_id", F.col("label").cast("string").alias("label"))
+        truth, probes = kept(self.search(queries, k), "index-truth"), 1
+        most = max((len(c) for c in self.centroids.values()), default=1)
+        while probes < most:
+            worst = recall(self.search(queries, k, probes, exact=False), truth, labels).agg(F.min("recall")).first()[0]
+            if worst is None or worst >= share:
+                break
+            probes *= 2
+        return min(probes, most)
+
     def _plan(self, held: pa.Table, probes: int, spans: DataFrame | None) -> Plan:
         """Which lists each query goes to: the nearest ones first; then, by ``spans``, all others that may hold a better vector."""
         unit: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -43,15 +43,19 @@ def test_index(spark, tmp_path):
     truth = best(rows, [r[0] for r in rows if r[0] % 20 == 0], 5)
     exact = index.search(asked, 5, probes=2, exact=True)
     assert {(r.vec_id, r.ref_id, r.lugar) for r in exact.collect()} == truth
-    near = index.search(asked, 5, probes=6)
+    near = index.search(asked, 5, probes=6, exact=False)
     found = vector_index.recall(near, exact, asked.select("vec_id", F.col("label").cast("string").alias("label"))).collect()
     assert len(found) == 2 and all(r.recall >= 0.9 for r in found)
+    few = index.probes_for(asked, 5)
+    assert few <= 8
+    chosen = vector_index.recall(index.search(asked, 5, few, exact=False), exact, asked.select("vec_id", F.col("label").cast("string").alias("label")))
+    assert all(r.recall >= 0.9 for r in chosen.collect())
 
 
 def test_index_reads_the_lists_it_needs(spark, tmp_path):
     rows = clustered(400)
     index = vector_index.build_index(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), str(tmp_path / "i"), lists=10)
-    plan = index.search(spark.createDataFrame(rows[:1], "vec_id long, label int, embedding array<double>"), 3, probes=1)
+    plan = index.search(spark.createDataFrame(rows[:1], "vec_id long, label int, embedding array<double>"), 3, probes=1, exact=False)
     assert plan.count() == 3
     entries = index.entries().filter(F.col("lista").isin([1]) & F.col("label").isin(["0"]))
     assert "In(lista" in entries._jdf.queryExecution().toString() or "EqualTo(lista" in entries._jdf.queryExecution().toString()
