@@ -3,9 +3,10 @@
 A rolling hash picks triggers, which cut the corpus into phrases (see ``_anchors``). The distinct
 phrases are the dictionary, each known by the smallest document that holds it; the parse says
 which document holds which of them. Phrases overlap so far that the first 50 bytes of any
-suffix of the corpus, from the phrase in which they start, lie in that one phrase. So the suffix array of the
-dictionary, read with the parse's holders, is the corpus order to 50 bytes. The suffix array of the parse would
-only order what agrees in 50 bytes already, and is not built.
+suffix of the corpus, from the phrase in which they start, lie in that one phrase. So the sorted suffixes of the
+dictionary, read with the parse's holders, tell which 50-byte strings of the corpus are equal. That is all the result
+needs, and all that is built: the parse's own suffix array, which would order what agrees in 50 bytes already, is
+not, nor is a full order of the corpus's suffixes, and dictionary suffixes are sorted within shards.
 
 The dictionary is dealt into shards by trigger, where each shard sorts the suffixes of its distinct phrases by
 their bytes; neighbours that share 50 bytes are one string, held by the smallest document of all its phrases.
