@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cotejo.sources.scratch import kept
+
 BUCKETS = 1000
 
 
@@ -23,7 +25,8 @@ def score_counts(rows: DataFrame, score: str, truth: str, low: float = 0.0, high
         raise ValueError("buckets must be 1 or more, and low below high")
     held = rows.select(F.col(score).cast("double").alias("umbral"), (F.col(truth) == 1).alias("t")).filter(F.col("umbral").isNotNull() & ~F.isnan("umbral") & F.col("t").isNotNull())
     counted = held.groupBy("umbral").agg(F.count_if("t").alias("p"), F.count_if(~F.col("t")).alias("n"))
-    return counted.withColumn("cubo", _bucket(F.col("umbral"), low, high, buckets))
+    # read several times from here on
+    return kept(counted.withColumn("cubo", _bucket(F.col("umbral"), low, high, buckets)), "score-counts")
 
 
 def histogram(counts: DataFrame) -> DataFrame:
@@ -53,12 +56,11 @@ def area(points: DataFrame) -> DataFrame:
     return points.agg(F.round(F.try_divide(twice.cast("double"), F.nullif(pairs.cast("double"), F.lit(0.0))), 6).alias("area"))
 
 
-def lowest_threshold(rows: DataFrame, score: str, truth: str, below: float = 0.1, low: float = 0.0, high: float = 1.0, buckets: int = BUCKETS) -> DataFrame:
+def lowest_threshold(counts: DataFrame, below: float = 0.1) -> DataFrame:
     """One row: the lowest score from which on the share of false alarms is less than ``below``, with that share and the sensitivity; none if no score has it.
 
     The histogram tells the one bucket in which the share crosses the limit; only that bucket's scores are ordered.
     """
-    counts = score_counts(rows, score, truth, low, high, buckets)
     sums = histogram(counts)
     few = lambda n: F.try_divide(n.cast("double"), F.col("n_all").cast("double")) < below
     # whole buckets that may be called true, and the first one below them, of which perhaps a part may

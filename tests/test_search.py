@@ -216,13 +216,14 @@ def test_thresholds(spark, seed, buckets):
     df = spark.createDataFrame(rows, "s double, y int")
     clean = [(s, y) for s, y in rows if s is not None and s == s and y is not None]
     pos, neg = [s for s, y in clean if y], [s for s, y in clean if not y]
-    points = thresholds.curve(thresholds.score_counts(df, "s", "y", buckets=buckets))
+    counts = thresholds.score_counts(df, "s", "y", buckets=buckets)
+    points = thresholds.curve(counts)
     for r in points.collect():
         assert r.tp == sum(s >= r.umbral for s in pos) and r.fp == sum(s >= r.umbral for s in neg)
     area = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
     assert thresholds.area(points).first().area == round(area, 6)
     for below in (0.1, 0.003, 0.5, 2.0):
-        got = thresholds.lowest_threshold(df, "s", "y", below, buckets=buckets).collect()
+        got = thresholds.lowest_threshold(counts, below).collect()
         fits = [u for u in {s for s, _ in clean} if sum(s >= u for s in neg) / len(neg) < below]
         assert [r.umbral for r in got] == ([min(fits)] if fits else [])
         assert all(r.fp == sum(s >= r.umbral for s in neg) and r.tp == sum(s >= r.umbral for s in pos) for r in got)
@@ -231,9 +232,9 @@ def test_thresholds(spark, seed, buckets):
 def test_thresholds_without_cases(spark):
     for rows in ([], [(0.3, 1)], [(0.3, 0)]):
         df = spark.createDataFrame(rows, "s double, y int")
-        points = thresholds.curve(thresholds.score_counts(df, "s", "y"))
-        assert thresholds.area(points).first().area is None
-        assert thresholds.lowest_threshold(df, "s", "y").count() == 0
+        counts = thresholds.score_counts(df, "s", "y")
+        assert thresholds.area(thresholds.curve(counts)).first().area is None
+        assert thresholds.lowest_threshold(counts).count() == 0
 
 
 def test_components(spark):
