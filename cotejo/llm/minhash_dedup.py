@@ -93,17 +93,20 @@ def signatures(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def least_matches(percent: int, miss: float) -> list[int]:
-    """For each number of batches, the fewest equal bytes that leave a link possible enough."""
+    """For each number of batches, the fewest equal bytes that leave a link possible enough.
+
+    The driver looks at one number of equal bytes after the other; all of them at once would take 150 MB of it.
+    """
     p = np.linspace(1 / 256, 1, 20_001)[1:-1]
     similar = (p - 1 / 256) / (1 - 1 / 256) >= percent / 100
-    out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
-        m = np.arange(n + 1)[:, None]
-        log = m * np.log(p) + (n - m) * np.log1p(-p)
-        weight = np.exp(log - log.max(axis=1, keepdims=True))
-        enough = weight[:, similar].sum(axis=1) / weight.sum(axis=1) >= miss
-        out.append(int(np.argmax(enough)))
-    return out
+    equal, other = np.log(p), np.log1p(-p)
+
+    def enough(m: int, n: int) -> bool:
+        log = m * equal + (n - m) * other
+        weight = np.exp(log - log.max())
+        return weight[similar].sum() / weight.sum() >= miss
+
+    return [next((m for m in range(n + 1) if enough(m, n)), 0) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:

@@ -329,9 +329,10 @@ def _search(counts: np.ndarray, capacity: int, spent: list[int], at_once: int, m
     bound = lower_bound(counts, capacity)
     best: Plan = []
     best_bins = None
+    # one histogram, which steps take from and give back to: the stack may be deeper than ``capacity``
+    left, pieces, size = counts.copy(), int(counts.sum()), int((counts * np.arange(len(counts))).sum())
 
-    def options(left: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        largest = int(np.flatnonzero(left)[-1])
+    def around(largest: int) -> list[tuple[int, list[int]]]:
         rest = left.copy()
         rest[largest] -= 1
         own = [at_once]
@@ -339,37 +340,46 @@ def _search(counts: np.ndarray, capacity: int, spent: list[int], at_once: int, m
         spent[0] -= at_once - own[0] + 1
         # of equal waste first what leaves the lengths most even, or by chance
         found.sort(key=lambda f: (f[0], mixed.random() if mixed else -min((rest[x] for x in f[1]), default=0)))
-        for _, filling in found:
+        return found
+
+    def options() -> Iterator[tuple[int, list[int]]]:
+        largest = int(np.flatnonzero(left)[-1])
+        for _, filling in around(largest):
             members = [largest, *filling]
-            need = np.bincount(members, minlength=capacity + 1)
-            at = np.flatnonzero(need)
-            most = int((left[at] // need[at]).min())
+            most = min(int(left[x]) // n for x, n in Counter(members).items())
             for times in range(most, 0, -1) if exact else (most,):
                 yield times, members
 
-    stack = [(counts, options(counts), 0)] if counts.any() else []
+    def take(times: int, members: list[int]) -> None:
+        nonlocal pieces, size
+        for x in members:
+            left[x] -= times
+        pieces -= times * len(members)
+        size -= times * sum(members)
+
+    stack = [(options(), 0)] if counts.any() else []
     path: Plan = []
     while stack:
-        left, choices, bins = stack[-1]
+        choices, bins = stack[-1]
         step = next(choices, None)
         if step is None:
             stack.pop()
             if path:
-                path.pop()
+                times, members = path.pop()
+                take(-times, members)
             continue
         times, members = step
-        after = left - times * np.bincount(members, minlength=capacity + 1)
         now = bins + times
-        size = int((after * np.arange(capacity + 1)).sum())
-        if best_bins is not None and now + -(-size // capacity) >= best_bins:
+        if best_bins is not None and now + -(-(size - times * sum(members)) // capacity) >= best_bins:
             continue
-        if not after.any():
+        if pieces == times * len(members):
             best, best_bins = [*path, step], now
             if now <= bound:
                 break
             continue
         path.append(step)
-        stack.append((after, options(after), now))
+        take(times, members)
+        stack.append((options(), now))
         if best_bins is not None and spent[0] <= 0:
             break
     return best

@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -444,6 +445,19 @@ def test_many_tiny_lengths(lengths):
     assert sum(k for k, _ in plan) == packing.lower_bound(counts, 2048)
 
 
+def test_search_takes_little_of_the_driver():
+    """A plan of two thousand steps: what waits on the stack holds no histograms, which took 125 MB here."""
+    rng = np.random.default_rng(0)
+    counts = np.bincount(np.clip(np.exp(rng.normal(4.5, 1.5, 60_000)).astype(int) + 1, 1, 2048), minlength=2049)
+    tracemalloc.start()
+    plan = packing.complete_bins(counts, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(plan) > 2000 and peak < 30e6
+    assert (sum(k * np.bincount(m, minlength=2049) for k, m in plan) == counts).all() and all(sum(m) <= 2048 for _, m in plan)
+    assert sum(k for k, _ in plan) == packing.lower_bound(counts, 2048)
+
+
 def test_exact_packing():
     """Without a budget no plan has fewer sequences than that of plain search."""
     rng = random.Random(3)
