@@ -176,6 +176,33 @@ def test_edit_join_leaves_common_segments_out(spark):
     assert met < 400 * 399 / 2 / 4
 
 
+def test_edit_join_of_a_crowd(spark, monkeypatch):
+    """Addresses of one host share most segments: they meet in cells, not as rows of candidates, and no pair is lost."""
+    monkeypatch.setattr(edit_join, "CROWD", 6)
+    monkeypatch.setattr(edit_join, "BLOCK", 16)
+    monkeypatch.setattr(edit_join, "AT_ONCE", 50)
+    rng, joined, join = random.Random(9), [], edit_join._candidates
+    monkeypatch.setattr(edit_join, "_candidates", lambda *x: joined.append(join(*x)) or joined[-1])
+    host = lambda k: "http" + "s" * (k % 2) + "://" + ("www.", "", "")[k % 3] + "tionsh.example.net/"
+    strings = sorted({host(rng.randrange(6)) + f"{rng.randrange(9000)}" + rng.choice(["", "/", "#é"]) for _ in range(120)} | {"http://other.org/a", "http://other.org/b", "x", "", "é"})
+    rng.shuffle(strings)
+    pairs = edit_join.near_strings(spark.createDataFrame(list(enumerate(strings)), "id long, s string").repartition(3), "id", "s", 3)[1]
+    want = {(i, j, d) for (i, a), (j, b) in itertools.combinations(enumerate(strings), 2) if (d := distance(a, b)) <= 3}
+    assert {tuple(r) for r in pairs.collect()} == want and pairs.count() == len(want) > 100
+    few = sum(x.count() for x in joined)
+    assert few < edit_join.candidates(spark.createDataFrame(list(enumerate(strings)), "id long, s string"), 3).count() / 4
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 5])
+def test_pairs_within(k):
+    rng = random.Random(k)
+    word = lambda n: "".join(rng.choice("abé𝄞\0"[: rng.choice([2, 5])]) for _ in range(n))
+    for m, n in ((m, m + d) for m in (1, 2, 5, 11) for d in range(k + 1)):
+        one, two = [word(m) for _ in range(12)], [word(n) for _ in range(15)]
+        got = {(i, j, d) for i, j, d in zip(*map(np.ndarray.tolist, edit_join.pairs_within(one, two, k)), strict=True)}
+        assert got == {(i, j, d) for i, x in enumerate(one) for j, y in enumerate(two) if (d := distance(x, y)) <= k}
+
+
 def plain_regions(a, b, least):
     a, b = ("".join((t or "").lower().split()) for t in (a, b))
     out = set()
