@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cotejo.functions.style import char_ngrams, runs
+from cotejo.functions import winnow
+from cotejo.functions.style import runs
 from cotejo.functions.vectors import cosine, jaccard
 from cotejo.sources.scratch import kept
 
@@ -332,8 +333,17 @@ def fingerprints(texts: DataFrame, key: str, k: int = 5, window: int = 4) -> Dat
     In each run of ``window`` hashes the least is chosen, and each chosen one is kept once for a
     text. Texts with fewer hashes than a window have their least one.
     """
-    packed = F.regexp_replace(F.lower(F.col("text")), r"\s+", "")
-    hashed = F.transform(char_ngrams(packed, k), lambda g: F.conv(F.substring(F.md5(g), 1, 12), 16, 10).cast("long"))
-    hashes = texts.select(key, hashed.alias("h")).filter("size(h) > 0")
-    chosen = F.when(F.size("h") < window, F.array(F.array_min("h"))).otherwise(runs(F.col("h"), window, lambda xs: F.least(*xs)))
-    return hashes.select(key, F.explode(F.array_distinct(chosen)).alias("fingerprint"))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def winnowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, chosen in winnow.fingerprints(batch.column("text"), k, window):
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of)), pa.array(chosen)], [key, "fingerprint"])
+
+    return texts.select(key, F.lower("text").alias("text")).mapInArrow(winnowed, f"`{key}` {kind}, fingerprint long")
+
+
+def shared_fingerprints(texts: DataFrame, references: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b and n: how many fingerprints each text shares with each reference. References that fit go to the texts, which are not shuffled then."""
+    joined = texts.join(F.broadcast(references) if _kernel_fits(references, 64) else references, "fingerprint")
+    return joined.groupBy(a, b).agg(F.count("*").alias("n"))

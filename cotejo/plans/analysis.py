@@ -11,6 +11,7 @@ from cotejo.functions.vectors import cosine, edit_similarity, fused, fused_cosin
 from cotejo.operators import evaluate, learned, library, report, similarity
 from cotejo.plans._tables import everyone, table, texts
 from cotejo.plans.texts import _PROBABILITY
+from cotejo.sources.scratch import kept
 from cotejo.streaming.ingest import sessions
 
 
@@ -76,7 +77,7 @@ def fingerprint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many winnowed fingerprints documents share with benchmark items, from 20 on."""
     items = similarity.fingerprints(table(spark, sf_dir, "benchmark"), "item_id", k=12, window=8)
     docs = similarity.fingerprints(texts(spark, sf_dir, "documents"), "doc_id", k=12, window=8)
-    return docs.join(items, "fingerprint").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).filter("n >= 20")
+    return similarity.shared_fingerprints(docs, kept(items, "fingerprints"), "doc_id", "item_id").filter("n >= 20")
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Index, joins, regions, thresholds, groups and flow graphs against plain versions."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -7,9 +8,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cotejo.functions import winnow
 from cotejo.functions.text import KEYWORDS
 from cotejo.operators import edit_join, flow, groups, lineage, regions, set_join, similarity, thresholds, trees, vector_index
 
@@ -203,6 +206,35 @@ def test_pairs_within(k):
         assert got == {(i, j, d) for i, x in enumerate(one) for j, y in enumerate(two) if (d := distance(x, y)) <= k}
 
 
+def plain_fingerprints(text, k, window):
+    text = "".join(c for c in (text or "").lower() if c not in " \t\n\x0b\f\r")
+    h = [int(hashlib.md5(text[i : i + k].encode()).hexdigest()[:12], 16) for i in range(len(text) - k + 1)]
+    return {min(h)} if 0 < len(h) < window else {min(h[i : i + window]) for i in range(len(h) - window + 1)}
+
+
+@pytest.mark.parametrize(("k", "window"), [(12, 8), (5, 4), (1, 1), (20, 3), (2, 9)])
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_fingerprints(spark, monkeypatch, k, window, size):
+    """Whole arrays at a time, in parts of any size, give the fingerprints of a plain version, each once for a text."""
+    monkeypatch.setattr(winnow, "BYTES", size)
+    monkeypatch.setattr(winnow, "RUNS", 50)
+    rng = random.Random(k)
+    rows = [None, "", "a" * 12, "a" * 40] + ["".join(rng.choice("aB é\n𝄞€x\t\0"[: rng.choice([3, 10])]) for _ in range(rng.randrange(80))) for _ in range(40)]
+    got = Counter((i, f) for of, chosen in winnow.fingerprints(pa.array(["zz", *((t or "").lower() for t in rows)]).slice(1), k, window) for i, f in zip(of.tolist(), chosen.tolist(), strict=True))
+    assert got == Counter((i, f) for i, t in enumerate(rows) for f in plain_fingerprints(t, k, window))
+    if size > 40:
+        found = similarity.fingerprints(spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(rows)], "doc string, text string"), "doc", k, window)
+        assert Counter((r.doc, r.fingerprint) for r in found.collect()) == Counter((f"d{i}", f) for i, f in got)
+
+
+def test_shared_fingerprints_leave_texts_in_place(spark):
+    docs, refs = (spark.createDataFrame([(j, f"{name} of one text, and of others {j}") for j in range(9)], f"{name} long, text string") for name in ("doc", "ref"))
+    shared = similarity.shared_fingerprints(similarity.fingerprints(docs, "doc"), similarity.fingerprints(refs, "ref"), "doc", "ref")
+    prints = [{(j): plain_fingerprints(f"{name} of one text, and of others {j}", 5, 4) for j in range(9)} for name in ("doc", "ref")]
+    assert {(r.doc, r.ref): r.n for r in shared.collect()} == {(i, j): len(x & y) for i, x in prints[0].items() for j, y in prints[1].items() if x & y}
+    assert "SortMergeJoin" not in shared._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_regions(a, b, least):
     a, b = ("".join((t or "").lower().split()) for t in (a, b))
     out = set()
