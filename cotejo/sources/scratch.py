@@ -23,5 +23,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def kept(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a table in the shared folder, read back: a lost executor then costs a reread of files."""
     path = scratch_path(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

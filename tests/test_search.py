@@ -142,6 +142,23 @@ def test_set_join_meets_few(spark):
         set_join.candidates(numbers, 0.0)
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_set_join_fetches_few_sets(spark, monkeypatch, least):
+    """Texts of one stock of words meet by chance: their beginnings tell, and hardly a pair that is not similar has its sets fetched."""
+    monkeypatch.setattr(set_join, "MORE", 8)
+    rng, stock = random.Random(8), ["w" + a + b + c for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    rows = [(k, sorted(rng.sample(stock, rng.randint(30, 60)))) for k in range(150)]
+    rows += [(1000 + k, sorted({*words[2:], "extra"})) for k, words in rows[:30]]
+    numbers = set_join.numbered(spark.createDataFrame(rows, "clase long, words array<string>")).localCheckpoint()
+    sets = {k: set(words) for k, words in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+    met = set_join.candidates(numbers, least)
+    left = {tuple(r) for r in set_join.promising(met, numbers, least).collect()}
+    assert want <= left and {(r.a, r.b) for r in set_join.similar_pairs(numbers, least).collect()} == want
+    assert least < 0.8 or len(left) <= 1.5 * len(want)
+    assert least != 0.8 or met.count() > 5 * len(want) > 0
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
