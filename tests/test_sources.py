@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -200,3 +202,13 @@ def test_appended_statements(spark, tmp_path):
     assert sinks.append_statements(spark.createDataFrame([("A", "Z", "1", f"v{k}", "C") for k in range(50)], schema).coalesce(1), at) == 2
     again = statements.last_wins(statements.read_statements(spark, at), KEY)
     assert again.filter("subcarpeta = '1'").first().enunciado == "v49"
+
+
+def test_guilty_counts(spark):
+    """Against listed pairs, also of students in several groups; groups are not joined with themselves."""
+    rng = random.Random(2)
+    rows = [("c", f"a{k % 2}", f"p{k % 3}", k % 4, f"s{rng.randrange(25)}") for k in range(150)] + [("c", "a0", "p9", 1, f"t{k}") for k in range(60)] + [("c", "a0", None, 1, "t1"), ("c", "a0", "p0", 1, None)]
+    truth = spark.createDataFrame(rows, "curso string, carpeta string, subcarpeta string, group_id int, student string")
+    want = {(a[1], a[4], b[4]) for a in rows for b in rows if a[:4] == b[:4] and None not in (*a, *b) and a[4] < b[4]}
+    got = {(r.carpeta, r.student_a): r.n for r in traces.guilty_counts(truth).collect()}
+    assert got == Counter(x[:2] for x in want) and sum(got.values()) > 60 * 59 / 2
