@@ -69,8 +69,8 @@ def edit_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of quality 1 for every document, from a model that all labelled ones train."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return learned.probabilities(learned.train(docs, table(spark, sf_dir, "labels"), "doc_id", "quality"), docs, "doc_id")
+    vectors = learned.gram_vectors(texts(spark, sf_dir, "documents"), "doc_id")
+    return learned.scores(learned.fitted(vectors, table(spark, sf_dir, "labels"), "doc_id", "quality"), vectors, "doc_id")
 
 
 def fingerprint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

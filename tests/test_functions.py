@@ -223,3 +223,19 @@ def test_generators(spark):
         generators.generator("other")
     generators.register_featurizer("length", lambda code: code.select("key", F.length("text").cast("double").alias("n")))
     assert generators.featurizer("length")(spark.createDataFrame([("k", "abc")], "key string, text string")).first().n == 3.0
+
+
+def test_gram_vectors(spark, monkeypatch):
+    """The vectors are those of HashingTF on the runs of characters, in parts of any size."""
+    from pyspark.ml.feature import HashingTF
+
+    from cotejo.functions.style import char_ngrams
+    from cotejo.operators import learned
+
+    monkeypatch.setattr(learned, "CHARS", 40)
+    texts = [None, "", "ab", "abc", "The the THE", "é𝄞€ ñandú\n\té𝄞€", "x" * 100, "int main() { return 0; }"]
+    rows = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, text string").repartition(2)
+    for n, features in ((3, 1 << 12), (1, 7), (5, 100)):
+        grams = rows.select("id", char_ngrams(F.coalesce(F.lower("text"), F.lit("")), n).alias("grams"))
+        want = {r.id: r.v for r in HashingTF(inputCol="grams", outputCol="v", numFeatures=features).transform(grams).collect()}
+        assert {r.id: r.features for r in learned.gram_vectors(rows, "id", n=n, features=features).collect()} == want
